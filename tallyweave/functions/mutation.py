@@ -19,11 +19,11 @@ def parts(mutant: Column, separators: str = "[+:]") -> Column:
 
     def read(x: Column) -> Column:
         ok = x.rlike(_ONE)
-        return F.struct(
-            F.when(ok, F.left(x, F.lit(1))).alias("wt"),
-            F.when(ok, F.substring(x, 2, F.length(x) - 2).try_cast("int")).alias("pos"),
-            F.when(ok, F.right(x, F.lit(1))).alias("alt"),
-        )
+        return F.named_struct(
+            F.lit("wt"), F.when(ok, F.left(x, F.lit(1))),
+            F.lit("pos"), F.when(ok, F.substring(x, 2, F.length(x) - 2).try_cast("int")),
+            F.lit("alt"), F.when(ok, F.right(x, F.lit(1))),
+        )
 
     return F.transform(F.split(mutant, separators, -1), read)
 
@@ -50,7 +50,7 @@ def legal(found: Column, flat_wt: Column, synonymous: bool = False) -> Column:
 
 def ordered(found: Column) -> Column:
     """Parts by position."""
-    return F.array_sort(F.transform(found, lambda x: F.struct(x["pos"].alias("pos"), x["wt"].alias("wt"), x["alt"].alias("alt"))))
+    return F.array_sort(F.transform(found, lambda x: F.named_struct(F.lit("pos"), x["pos"], F.lit("wt"), x["wt"], F.lit("alt"), x["alt"])))
 
 
 def notation(found: Column, joiner: str = ":") -> Column:
@@ -66,21 +66,13 @@ def applied(flat_wt: Column, found: Column) -> Column:
 def chain_bounds(sequence: Column) -> Column:
     """Array of (chain_id, start, end, sequence), all from 1, of a sequence whose chains ``:`` separates."""
     chains = F.split(sequence, ":", -1)
-    start = F.array(F.struct(F.lit(0).alias("chain_id"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("sequence")))
+    names = [F.lit(n) for n in ("chain_id", "start", "end", "sequence")]
+    entry = lambda *values: F.array(F.named_struct(*[x for pair in zip(names, values) for x in pair]))
+    start = entry(F.lit(0), F.lit(0), F.lit(0), F.lit(""))
 
     def step(acc: Column, x: Column) -> Column:
         before = F.element_at(acc, -1)
-        return F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    (before["chain_id"] + 1).alias("chain_id"),
-                    (before["end"] + 1).alias("start"),
-                    (before["end"] + F.length(x)).alias("end"),
-                    x.alias("sequence"),
-                )
-            ),
-        )
+        return F.concat(acc, entry(before["chain_id"] + 1, before["end"] + 1, before["end"] + F.length(x), x))
 
     return F.slice(F.aggregate(chains, start, step), F.lit(2), F.size(chains))
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.plans import evaluation, general
+from tallyweave.plans import evaluation, general, preparation
 
-_MODULES = [general, evaluation]
+_MODULES = [general, evaluation, preparation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
