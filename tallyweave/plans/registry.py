@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.plans import evaluation, general, preparation
+from tallyweave.plans import evaluation, general, preparation, scoring
 
-_MODULES = [general, evaluation, preparation]
+_MODULES = [general, evaluation, preparation, scoring]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
