@@ -18,8 +18,11 @@ from tallyweave.llm import tokens
 
 #: Kinds of cuts: the end of a paragraph, a line, a sentence, a word; inside a word; inside a character.
 PARAGRAPH, LINE, SENTENCE, WORD, TOKEN, BYTE = 5, 4, 3, 2, 1, 0
-_ENDS = np.array([ord(c) for c in ".!?。！？…"], np.uint32)
-_BLANK = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+#: What ends a sentence, and white space, by character code; codes above the table are neither.
+_TABLE = 0xFF20
+_ENDS, _BLANK = np.zeros(_TABLE + 1, bool), np.zeros(_TABLE + 1, bool)
+_ENDS[[ord(c) for c in ".!?。！？…"]] = True
+_BLANK[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 _BLOCK = 300_000
 _OUT = "doc_id bigint, limit_name string, piece_no int, first_token int, n_tokens int, first_char int, n_chars int, cut_kind int, piece string"
 
@@ -32,14 +35,14 @@ def farthest(level: np.ndarray, base: np.ndarray, stop: np.ndarray, most: int, s
     end of a word, then of a token, then the full length. A cut always lies more than ``shared`` tokens after its piece's
     start, so pieces move on. The end of a text is its own successor.
     """
-    at = np.arange(len(level))
+    at = np.arange(len(level), dtype=np.int32)
     start = np.maximum(at - shared, base)
     start[at == base] = base[at == base]
     reach = np.minimum(start + most, stop)
     best = reach.copy()
     open_ = reach < stop
     for kind in (PARAGRAPH, LINE, SENTENCE, WORD, TOKEN):
-        last = np.maximum.accumulate(np.where(level >= kind, at, -1))[reach]
+        last = np.maximum.accumulate(np.where(level >= kind, at, np.int32(-1)))[reach]
         least = np.maximum(start + shared, start + int(most * fill)) if kind > WORD else start + shared
         hit = open_ & (last > least)
         best[hit] = last[hit]
@@ -64,15 +67,16 @@ def reached(successor: np.ndarray, first: np.ndarray) -> np.ndarray:
 def levels(chars: np.ndarray, before: np.ndarray, after: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """Kind of each boundary between a token that ends at ``before`` and one that starts at ``after``."""
     padded = np.r_[np.zeros(3, np.uint32), chars, np.zeros(1, np.uint32)]
-    blank, newline = np.isin(padded, _BLANK), padded == 10
-    lines = np.r_[0, np.cumsum(newline)]
+    code = np.minimum(padded, _TABLE)
+    blank, newline = _BLANK[code], padded == 10
+    lines = np.r_[0, np.cumsum(newline, dtype=np.int32)]
     a, b = before + 2, after + 3
     gap_lines = lines[b] - lines[a + 1]
     ends_line = newline[a]
     second = newline[a - 1] | ((padded[a - 1] == 13) & newline[a - 2])
     apart = (b > a + 1) | blank[b]
-    level = np.where(apart | (blank[a] != blank[b]), WORD, TOKEN)
-    level[np.isin(padded[a], _ENDS) & apart] = SENTENCE
+    level = np.where(apart | (blank[a] != blank[b]), np.int8(WORD), np.int8(TOKEN))
+    level[_ENDS[code[a]] & apart] = SENTENCE
     level[(gap_lines == 1) | ends_line] = LINE
     level[(gap_lines > 1) | (ends_line & second)] = PARAGRAPH
     level[~whole] = BYTE
@@ -104,20 +108,21 @@ class Block:
             whole = ends > starts
         docs = np.arange(len(texts))
         self.count = count
-        self.first = np.cumsum(np.r_[0, count[:-1]]) + docs
-        self.last = self.first + count
+        self.first = (np.cumsum(np.r_[0, count[:-1]]) + docs).astype(np.int32)
+        self.last = (self.first + count).astype(np.int32)
         size = int(count.sum()) + len(texts)
         right = np.arange(int(count.sum())) + np.repeat(docs, count) + 1
         self.before, self.after, self.whole = np.zeros(size, np.int64), np.zeros(size, np.int64), np.ones(size, bool)
         self.before[right], self.after[right - 1], self.whole[right] = ends, starts, whole
         self.before[self.first], self.after[self.last] = text_at[:-1], text_at[1:]
         self.doc = np.repeat(docs, count + 1)
+        self.level = levels(self.chars, self.before, np.maximum(self.after, self.before), self.whole)
 
     def pieces(self, most: int, shared: int) -> dict[str, np.ndarray]:
         """Pieces of the texts with more than ``most`` tokens; texts below that give none."""
         base, stop = self.first[self.doc], self.last[self.doc]
-        at = np.arange(len(self.doc))
-        level = levels(self.chars, self.before, np.maximum(self.after, self.before), self.whole)
+        at = np.arange(len(self.doc), dtype=np.int32)
+        level = self.level.copy()
         # where the next piece starts has to be a whole character too
         level[~self.whole[np.maximum(at - shared, base)]] = BYTE
         big = self.count > most
@@ -137,8 +142,8 @@ def split_texts(texts: list[str], name: str, limits: list[tuple[str, int, int]],
     """(text number, limit_name, piece_no, first_token, n_tokens, first_char, n_chars, cut_kind, piece) columns, block by block."""
     encoder = tokens.load(name, folder)
     least = min(m for _, m, _ in limits)
-    # a character has at most four bytes, and no tokenizer here gives a byte more than three tokens
-    wanted = [i for i, t in enumerate(texts) if t and (4 * len(t) > least if isinstance(encoder, tokens.ByteEncoder) else 12 * len(t) > least)]
+    # a text has at most as many tokens as bytes; a character has four bytes at most, and normalising it at most triples them
+    wanted = [i for i, t in enumerate(texts) if t and (1 if t.isascii() else 4 if isinstance(encoder, tokens.ByteEncoder) else 12) * len(t) > least]
     start = 0
     while start < len(wanted):
         stop, size = start, 0

@@ -34,6 +34,7 @@ _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 #: Unicode White_Space.
 _WS = r" \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WS_CHARS = "".join(chr(c) for c in range(0x3001) if re.match(f"[{_WS}]", chr(c)))
 _SEGMENT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _CUT = re.compile(f"[^{_WS}](?=[{_WS}])")
 _BLOCK, _LONG, _REMEMBER, _KEY = 1 << 18, 1 << 14, 150_000, 48
@@ -258,39 +259,52 @@ class WordEncoder:
 
         self.model = Tokenizer.from_file(os.path.join(folder, f"{name}.json"))
         self.model.encode_special_tokens = True
-        self._lead = re.compile(f"^[{_WS}]+")
+        vocabulary = self.model.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int32)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token.removesuffix("</w>"))
         self._splits = Memo(self._split)
         self._segments = Memo(self._segment)
 
     def _split(self, text: str) -> bytes:
         """How many characters each token adds, as 32-bit integers. Of tokens that share a character the last adds it."""
-        spans = self.model.encode(text, add_special_tokens=False).offsets
-        starts, ends = [s for s, _ in spans], [e for _, e in spans]
-        size = [0 if i + 1 < len(ends) and starts[i + 1] < e else e for i, e in enumerate(ends)]
-        at, out = starts[0] if starts else 0, array("i")
-        for e in size:
-            out.append(e - at if e else 0)
-            at = e or at
+        found = self.model.encode(text, add_special_tokens=False)
+        if text.isascii():
+            return self.sizes[found.ids].tobytes()
+        spans = found.offsets
+        at, out = spans[0][0] if spans else 0, array("i")
+        for i, (_, e) in enumerate(spans):
+            e = at if i + 1 < len(spans) and spans[i + 1][0] < e else e
+            out.append(e - at)
+            at = e
         return out.tobytes()
 
-    def _segment(self, text: str) -> tuple[bytes, int]:
-        """What _split gives for a segment, and how many blanks stand before its first token."""
-        blanks = len(text) - len(self._lead.sub("", text))
-        if text.isascii():
-            return b"".join(map(self._splits.__getitem__, _ASCII_WORDS.findall(text.lower()))), blanks
-        return self._split(text), blanks
+    def _segment(self, text: str) -> tuple[bytes, int, int]:
+        """What _split gives for a segment, its number of tokens, and how many blanks stand before the first."""
+        bare = text.lstrip(_WS_CHARS)
+        size = b"".join(map(self._splits.__getitem__, _ASCII_WORDS.findall(bare.lower()))) if text.isascii() else self._split(bare)
+        return size, len(size) // 4, len(text) - len(bare)
 
     def count(self, text: str) -> int:
-        return sum(len(self._segments[s][0]) for s in _SEGMENT.findall(text)) // 4
+        return sum(self._segments[s][1] for s in _SEGMENT.findall(text))
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First character of each token and the one after its last; equal ends mark tokens inside a character."""
-        got = [self._segments[s] for s in _SEGMENT.findall(text)]
-        got = [g for g in got if g[0]]
-        size = np.frombuffer(b"".join(g[0] for g in got), np.int32)
-        gap = np.zeros(len(size), np.int64)
-        gap[np.cumsum([0, *(len(g[0]) // 4 for g in got)])[:-1].astype(np.int64)] = [g[1] for g in got]
-        ends = np.cumsum(size + gap)
+        got = list(map(self._segments.__getitem__, _SEGMENT.findall(text)))
+        if got and not got[-1][1]:
+            got.pop()
+        if not got:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sizes, counts, blanks = zip(*got)
+        size = np.frombuffer(b"".join(sizes), np.int32)
+        gap = np.zeros(len(size) + 1, np.int64)
+        first = np.cumsum((0, *counts[:-1]))
+        if min(counts):
+            gap[first] = blanks
+        else:
+            # a segment without tokens (characters the normaliser drops) adds its blanks to the next token
+            np.add.at(gap, first, blanks)
+        ends = np.cumsum(size + gap[:-1])
         return ends - size, ends
 
 
