@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.plans import evaluation, general, preparation, scoring
+from tallyweave.plans import evaluation, general, preparation, results, scoring
 
-_MODULES = [general, evaluation, preparation, scoring]
+_MODULES = [general, evaluation, preparation, scoring, results]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
