@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyweave.functions.arrays import let
+
 _ESCAPE = "\x01"
 
 
@@ -31,31 +33,35 @@ def quote_pieces(body: Column) -> Column:
 
 def sound(pieces: Column) -> Column:
     """True where every quote opens or closes a whole field or is one of a doubled pair."""
-    last = F.size(pieces) - 1
 
-    def bad(piece: Column, i: Column) -> Column:
-        opens = (i < last) & ~F.endswith(piece, F.lit(","))
-        follows = (i > 0) & ~F.startswith(piece, F.lit(","))
-        doubled = (piece == "") & (i > 0) & (i < last)
-        at_end = (piece == "") & (i == last)
-        return (i % 2 == 0) & ~doubled & (opens | (follows & ~at_end))
+    def judge(p: Column, last: Column) -> Column:
+        def bad(piece: Column, i: Column) -> Column:
+            opens = (i < last) & ~F.endswith(piece, F.lit(","))
+            follows = (i > 0) & ~F.startswith(piece, F.lit(","))
+            doubled = (piece == "") & (i > 0) & (i < last)
+            at_end = (piece == "") & (i == last)
+            return (i % 2 == 0) & ~doubled & (opens | (follows & ~at_end))
+
+        return (last % 2 == 0) & (F.size(F.filter(p, bad)) == 0)
 
-    return (last % 2 == 0) & (F.size(F.filter(pieces, bad)) == 0)
+    return let(pieces, lambda p: let(F.size(p) - 1, lambda last: judge(p, last)))
 
 
 def fields(pieces: Column) -> Column:
     """The values of a sound record, quotes removed and doubled quotes halved."""
-    last = F.size(pieces) - 1
     mark, comma = F.lit(_ESCAPE + "a"), F.lit(_ESCAPE + "b")
 
-    def flat(piece: Column, i: Column) -> Column:
-        kept = F.replace(piece, F.lit(_ESCAPE), mark)
-        return (
-            F.when(i % 2 == 1, F.replace(kept, F.lit(","), comma))
-            .when((piece == "") & (i > 0) & (i < last), F.lit('"'))
-            .otherwise(kept)
-        )
+    def flattened(p: Column, last: Column) -> Column:
+        def flat(piece: Column, i: Column) -> Column:
+            kept = F.replace(piece, F.lit(_ESCAPE), mark)
+            return (
+                F.when(i % 2 == 1, F.replace(kept, F.lit(","), comma))
+                .when((piece == "") & (i > 0) & (i < last), F.lit('"'))
+                .otherwise(kept)
+            )
+
+        return F.array_join(F.transform(p, flat), "")
 
-    joined = F.array_join(F.transform(pieces, flat), "")
+    joined = let(pieces, lambda p: let(F.size(p) - 1, lambda last: flattened(p, last)))
     cells = F.split(F.substring(joined, 2, 2147483647), ",", -1)
     return F.transform(cells, lambda x: F.replace(F.replace(x, comma, F.lit(",")), mark, F.lit(_ESCAPE)))

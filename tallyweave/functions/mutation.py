@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyweave.functions.arrays import let
+
 #: The twenty standard residues.
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 _ONE = rf"^[{RESIDUES}][0-9]+[{RESIDUES}]\z"
@@ -39,13 +41,17 @@ def legal(found: Column, flat_wt: Column, synonymous: bool = False) -> Column:
     A null sequence makes every mutant illegal.
     """
 
-    def wrong(x: Column) -> Column:
-        fits = (x["pos"] >= 1) & (F.substring(flat_wt, x["pos"], F.lit(1)) == x["wt"])
-        if not synonymous:
-            fits = fits & (x["alt"] != x["wt"])
-        return ~F.coalesce(fits, F.lit(False))
+    def judge(parts_: Column, wt: Column) -> Column:
+        def wrong(x: Column) -> Column:
+            fits = (x["pos"] >= 1) & (F.substring(wt, x["pos"], F.lit(1)) == x["wt"])
+            if not synonymous:
+                fits = fits & (x["alt"] != x["wt"])
+            return ~F.coalesce(fits, F.lit(False))
+
+        once = F.size(F.array_distinct(F.transform(parts_, lambda x: x["pos"]))) == F.size(parts_)
+        return ~F.exists(parts_, wrong) & once
 
-    return ~F.exists(found, wrong) & (F.size(F.array_distinct(F.transform(found, lambda x: x["pos"]))) == F.size(found))
+    return let(found, lambda f: let(flat_wt, lambda wt: judge(f, wt)))
 
 
 def ordered(found: Column) -> Column:
@@ -79,7 +85,7 @@ def chain_bounds(sequence: Column) -> Column:
 
 def rechained(flat: Column, bounds: Column) -> Column:
     """A flat sequence cut into its chains again."""
-    return F.array_join(F.transform(bounds, lambda b: F.substring(flat, b["start"], b["end"] - b["start"] + 1)), ":")
+    return let(flat, lambda f: F.array_join(F.transform(bounds, lambda b: F.substring(f, b["start"], b["end"] - b["start"] + 1)), ":"))
 
 
 def dialect(mutant: Column, flat_wt: Column, name: str) -> Column:
@@ -98,19 +104,23 @@ def dialect(mutant: Column, flat_wt: Column, name: str) -> Column:
     found = parts(text, separators)
     if name == "prefixed":
         found = F.array_distinct(found)
-    broken = F.exists(found, lambda x: x["pos"].isNull())
-    outside = F.exists(found, lambda x: (x["pos"] < 1) | (x["pos"] > F.length(flat_wt)))
-    other = F.exists(found, lambda x: F.substring(flat_wt, x["pos"], F.lit(1)) != x["wt"])
-    twice = F.size(F.array_distinct(F.transform(found, lambda x: x["pos"]))) < F.size(found)
-    same = F.exists(found, lambda x: x["alt"] == x["wt"]) if name == "strict" else F.lit(False)
-    error = (
-        F.when(wild, F.lit(None).cast("string"))
-        .when((text == "") | flat_wt.isNull(), "empty")
-        .when(broken, "format")
-        .when(outside, "range")
-        .when(other, "residue")
-        .when(same, "synonymous")
-        .when(twice, "position")
-    )
-    shown = notation(found if name == "colon" else ordered(found))
-    return F.struct(error.isNull().alias("valid"), error.alias("error"), F.when(wild, "WT").when(error.isNull(), shown).alias("normalized"))
+
+    def judge(f: Column, wt: Column) -> Column:
+        broken = F.exists(f, lambda x: x["pos"].isNull())
+        outside = F.exists(f, lambda x: (x["pos"] < 1) | (x["pos"] > F.length(wt)))
+        other = F.exists(f, lambda x: F.substring(wt, x["pos"], F.lit(1)) != x["wt"])
+        twice = F.size(F.array_distinct(F.transform(f, lambda x: x["pos"]))) < F.size(f)
+        same = F.exists(f, lambda x: x["alt"] == x["wt"]) if name == "strict" else F.lit(False)
+        error = (
+            F.when(wild, F.lit(None).cast("string"))
+            .when((text == "") | wt.isNull(), "empty")
+            .when(broken, "format")
+            .when(outside, "range")
+            .when(other, "residue")
+            .when(same, "synonymous")
+            .when(twice, "position")
+        )
+        shown = notation(f if name == "colon" else ordered(f))
+        return let(error, lambda e: F.named_struct(F.lit("valid"), e.isNull(), F.lit("error"), e, F.lit("normalized"), F.when(wild, "WT").when(e.isNull(), shown)))
+
+    return let(found, lambda f: let(flat_wt, lambda wt: judge(f, wt)))
