@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyweave.functions import mutation
 from tallyweave.session import finite
@@ -94,7 +95,7 @@ def scored(rows: DataFrame, score: Callable[[str, list[str]], list[float]], wild
             frame = pd.DataFrame(result, columns=["score", "valid", "error"])
             yield out.assign(score=pd.to_numeric(frame["score"]), valid=frame["valid"], error=frame["error"])
 
-    return rows.mapInPandas(run, rows.schema.add("score", "double").add("valid", "boolean").add("error", "string"))
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, *T.StructType.fromDDL("score double, valid boolean, error string").fields]))
 
 
 # -- alignments ------------------------------------------------------------------------------------------------

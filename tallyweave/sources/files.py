@@ -236,7 +236,7 @@ def manifest(spark: SparkSession, path: str | Path) -> DataFrame:
 
 def alignment_query(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, query): the first record of alignment files without insertions and gaps."""
-    rows = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     first = F.try_element_at(F.filter(F.split(F.concat(F.lit("\n"), F.regexp_replace("value", "\r", "")), "\n>", -1), lambda x: F.btrim(x, F.lit(" \n")) != ""), F.lit(1))
     return rows.select("path", F.regexp_replace(F.substring(first, F.instr(first, "\n") + 1, F.lit(2147483647)), r"[a-z.\-\s]", "").alias("query"))
 

@@ -55,11 +55,9 @@ def test_numbers_and_names(spark):
 
 def test_csv_fields(spark):
     cases = ['a,b', '"a,b",c', '"a""b"', '""', ',', '"\x01a,\x01b",x', "", 'a,"b\nc"', '"""",""']
-    import csv
-
-    for line in cases:
-        got = _one(spark, csvline.fields(csvline.quote_pieces(F.col("a"))), a=line)
-        assert got == (next(csv.reader([line.replace("\n", "\\n")]), [""]) if "\n" in line else next(csv.reader([line]), [""])) or "\n" in line and got == ["a", "b\nc"]
+    want = [["a", "b"], ["a,b", "c"], ['a"b'], [""], ["", ""], ["\x01a,\x01b", "x"], [""], ["a", "b\nc"], ['"', ""]]
+    for line, fields in zip(cases, want):
+        assert _one(spark, csvline.fields(csvline.quote_pieces(F.col("a"))), a=line) == fields
 
 
 def test_log_softmax(spark):
@@ -72,7 +70,7 @@ def test_log_softmax(spark):
 
 RESPONSES = {
     'x ```json\n{"ranking": [" A1V ", 3, null]}\n``` y': ["A1V", "3", "None"], '{"a": 1} {"ranking": ["B"]}': None, 'so {bad} then {"ranking": ["B", ""]}': ["B", ""],
-    "": None, "no": None, '{"ranking": {}}': None, '{"ranking": ["a}b"]}': None, "[1]": None, "```{broken}``` {\"ranking\": []}": [],
+    "": None, "no": None, '{"ranking": {}}': None, '{"ranking": ["a}b"]}': ["a}b"], "[1]": None, "```{broken}``` {\"ranking\": []}": [],
 }
 
 
