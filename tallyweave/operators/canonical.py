@@ -34,15 +34,27 @@ def sample_id(dataset: Column, task: Column, query: Column, role: Column, mutant
     return F.sha2(F.to_json(F.struct(dataset.alias("dataset_id"), mutant.alias("mutant"), query.alias("query_id"), role.alias("sample_role"), task.alias("task"))), 256)
 
 
-def pool(candidates: DataFrame, queries: DataFrame, assays: DataFrame) -> DataFrame:
-    """Candidates with their query and wild type; rows without group or mutant go. Assays are a fixed list and broadcast."""
+def _named(candidates: DataFrame, *more: Column) -> DataFrame:
+    named = candidates.select(F.col("candidate_group_id").alias("query_id"), text.nonblank(F.col("mutant")).alias("mutant"), *more)
+    return named.dropna(subset=["query_id", "mutant"])
+
+
+def _seated(rows: DataFrame, queries: DataFrame, assays: DataFrame) -> DataFrame:
     wild = assays.select(F.col("assay_id").alias("source_assay"), F.upper(text.strip(F.col("wildtype_sequence"))).alias("wildtype_sequence"))
-    rows = candidates.select(
-        "row_id", F.col("candidate_group_id").alias("query_id"), text.nonblank(F.col("mutant")).alias("mutant"), F.upper(text.strip(F.col("mutated_sequence"))).alias("given_sequence")
-    ).dropna(subset=["query_id", "mutant"])
     return rows.join(queries.select("task", "query_id", "source_assay"), "query_id").join(F.broadcast(wild), "source_assay")
 
 
+def pool(candidates: DataFrame, queries: DataFrame, assays: DataFrame) -> DataFrame:
+    """Candidates with their query and wild type; rows without group or mutant go. Assays are a fixed list and broadcast."""
+    given = F.upper(text.strip(F.col("mutated_sequence"))).alias("given_sequence")
+    return _seated(_named(candidates, F.col("row_id"), given), queries, assays)
+
+
+def distinct_pool(candidates: DataFrame, queries: DataFrame, assays: DataFrame) -> DataFrame:
+    """As pool, but one row for each (query, mutant), made distinct before anything long is joined to it."""
+    return _seated(_named(candidates).distinct(), queries, assays)
+
+
 def parsed(rows: DataFrame) -> DataFrame:
     """Add flat wild type, ordered components (null where the mutant is illegal) and the mutated sequence."""
     flat = mutation.flat_sequence(F.col("wildtype_sequence"))
@@ -52,8 +64,8 @@ def parsed(rows: DataFrame) -> DataFrame:
 
 
 def samples(rows: DataFrame, dataset: str, role: str = EVALUATION) -> DataFrame:
-    """One row for each distinct legal (task, query, mutant) of parsed rows."""
-    legal = rows.filter(F.col("components").isNotNull()).dropDuplicates(["task", "query_id", "mutant"])
+    """One sample for each legal row of parsed rows, which have to be distinct in (task, query, mutant)."""
+    legal = rows.filter(F.col("components").isNotNull())
     digest = F.sha2("wildtype_sequence", 256)
     return legal.select(
         sample_id(F.lit(dataset), F.col("task"), F.col("query_id"), F.lit(role), F.col("mutant")).alias("sample_id"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.operators import ranking
+from tallyweave.session import cut
 
 METRICS = ["nms", "recall", "ndcg", "spearman"]
 
@@ -62,11 +63,12 @@ def decide(flags: DataFrame, mode: int) -> DataFrame:
 
 def evaluate(truth: DataFrame, predictions: DataFrame, decided: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
     """Metrics of every group that isn't skipped; T1 has null ndcg and spearman. One plan over all groups."""
-    kept = decided.filter(F.col("status") != "skipped").select("grp", "task", "k", "status", "provided")
+    kept = cut(decided.filter(F.col("status") != "skipped").select("grp", "task", "k", "status", "provided"))
     given = predictions.join(kept.filter(F.col("status") == "provided").select("grp"), "grp", "left_semi")
     drawn = ranking.replacement(truth, kept.filter(F.col("status") == "random_replacement"), heavy)
-    places = ranking.truth_places(truth.join(kept.select("grp"), "grp", "left_semi"), heavy)
-    ranked = ranking.joined(places, given.unionByName(drawn), heavy)
+    # both are read by several metrics: written once, they aren't computed again for each
+    places = cut(ranking.truth_places(truth.join(kept.select("grp"), "grp", "left_semi"), heavy))
+    ranked = cut(ranking.joined(places, given.unionByName(drawn), heavy))
     head = ranking.head_metrics(places, ranked, kept.select("grp", "k"))
     rho = ranking.spearman(ranking.prediction_ranks(places, ranked, heavy))
     out = head.drop("k").join(rho, "grp").join(kept, "grp")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import policy, ranking
 from tallyweave.plans.common import BASE, predictions, r6, sql_r6, tasks, truth, truth_rows
+from tallyweave.session import cut, table
 
 _COUNTERS = ["predicted_rows", "selected_rows", "unique_legal", "unique_legal_in_budget", "illegal_total", "illegal_in_budget", "duplicate_total", "duplicate_in_budget"]
 
@@ -15,8 +16,15 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
     return policy.group_flags(truth(spark, d), predictions(spark, d), tasks(spark, d))
 
 
-def _results(spark: SparkSession, d: str, mode: int) -> DataFrame:
-    return policy.evaluate(truth(spark, d), predictions(spark, d), policy.decide(_flags(spark, d), mode))
+def _results(spark: SparkSession, d: str, mode: int, flags: DataFrame | None = None) -> DataFrame:
+    known, said = cut(truth(spark, d)), cut(predictions(spark, d))
+    flags = policy.group_flags(known, said, tasks(spark, d)) if flags is None else flags
+    return policy.evaluate(known, said, policy.decide(flags, mode))
+
+
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    flags = cut(_flags(spark, d))
+    return policy.summary(_results(spark, d, 1, flags), flags, ranking.truth_quality(truth_rows(spark, d)))
 
 
 def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -106,19 +114,17 @@ def _mode(mode: int):
 
 
 def e_summary(spark: SparkSession, d: str) -> DataFrame:
-    out = policy.summary(_results(spark, d, 1), _flags(spark, d), ranking.truth_quality(truth_rows(spark, d)))
+    out = _summary(spark, d)
     return out.select(*[r6(F.col(c)).alias(c) if c.startswith("mean_") else F.col(c) for c in out.columns])
 
 
 def e_overall(spark: SparkSession, d: str) -> DataFrame:
-    out = policy.overall(policy.summary(_results(spark, d, 1), _flags(spark, d), ranking.truth_quality(truth_rows(spark, d))), expected=None)
+    out = policy.overall(_summary(spark, d), expected=None)
     return out.select("n_tasks", r6(F.col("average")).alias("average"))
 
 
 def e_best_sources(spark: SparkSession, d: str) -> DataFrame:
     """Distinct source assays behind the groups of each task."""
-    from tallyweave.session import table
-
     return table(spark, d, "queries").groupBy("task").agg(F.count_distinct("source_assay").alias("num_assays"), F.count(F.lit(1)).alias("num_queries"))
 
 

@@ -20,7 +20,8 @@ def _parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
-    return canonical.samples(_parsed(spark, d), DATASET)
+    distinct = canonical.distinct_pool(table(spark, d, "candidates"), table(spark, d, "queries"), table(spark, d, "assays"))
+    return canonical.samples(canonical.parsed(distinct), DATASET)
 
 
 def c_proteins(spark: SparkSession, d: str) -> DataFrame:
