@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.session import cut
+
 HEAVY_FROM, RANGES = 2_000_000, 64
 
 
 def heavy_groups(df: DataFrame, group: str, heavy_from: int = HEAVY_FROM) -> DataFrame | None:
     """Groups with at least ``heavy_from`` rows, None if there are none. There are at most rows / heavy_from of them."""
-    found = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= heavy_from).select(group)
+    found = cut(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= heavy_from).select(group))
     return None if found.isEmpty() else found
 
 
@@ -26,6 +28,8 @@ def numbered(df: DataFrame, group: str, by: Column, then: list[Column], name: st
     row_number = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(by, *then))
     if heavy is None:
         return df.withColumn(name, row_number(group))
+    # read four times below
+    df = cut(df)
     light = df.join(F.broadcast(heavy), group, "left_anti").withColumn(name, row_number(group))
     hot = df.join(F.broadcast(heavy), group, "left_semi")
     cuts = [i / RANGES for i in range(1, RANGES)]
@@ -39,6 +43,11 @@ def numbered(df: DataFrame, group: str, by: Column, then: list[Column], name: st
     return light.unionByName(hot.withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_s", "_before"))
 
 
-def average_rank(df: DataFrame, group: str, value: str, number: str, name: str) -> DataFrame:
-    """Add ``name``: the mean of ``number`` among rows of equal ``value``, given row numbers in that value's order."""
-    return df.withColumn(name, F.avg(number).over(Window.partitionBy(group, value)))
+def average_rank(df: DataFrame, group: str, value: str, number: str, name: str, heavy: DataFrame | None = None) -> DataFrame:
+    """Add ``name``: the mean of ``number`` among rows of equal ``value``, given row numbers in that value's order.
+
+    With ``heavy`` groups a value may have too many rows for a window; means are then aggregated and joined back.
+    """
+    if heavy is None:
+        return df.withColumn(name, F.avg(number).over(Window.partitionBy(group, value)))
+    return df.join(df.groupBy(group, value).agg(F.avg(number).alias(name)), [group, value])

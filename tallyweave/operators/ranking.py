@@ -67,7 +67,7 @@ def placed(predictions: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
 def truth_places(truth: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
     """Add best-first place, average rank, the group's size, range, and gain (1 where all scores are equal)."""
     out = numbered(truth.withColumn("down", -F.col("score")), "grp", F.col("down"), [F.col("item")], "place", heavy)
-    out = average_rank(out, "grp", "score", "place", "truth_rank").drop("down")
+    out = average_rank(out, "grp", "score", "place", "truth_rank", heavy).drop("down")
     stats = truth.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
     gain = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
     return out.join(stats, "grp").withColumn("gain", F.greatest(F.lit(0.0), F.least(F.lit(1.0), gain)))
@@ -87,8 +87,11 @@ def as_number(digest: Column) -> Column:
 def joined(truth: DataFrame, predictions: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
     """Placed predictions beside their item's truth; ``first`` marks an item's first naming, ``legal`` those in the pool."""
     ranked = placed(predictions, heavy)
-    first = F.min("pos").over(Window.partitionBy("grp", "item"))
-    ranked = ranked.withColumn("first", F.col("pos") == first)
+    if heavy is None:
+        ranked = ranked.withColumn("first", F.col("pos") == F.min("pos").over(Window.partitionBy("grp", "item")))
+    else:
+        firsts = ranked.groupBy("grp", "item").agg(F.min("pos").alias("_first"))
+        ranked = ranked.join(firsts, ["grp", "item"]).withColumn("first", F.col("pos") == F.col("_first")).drop("_first")
     known = truth.select("grp", "item", "score", "gain", "truth_rank")
     return ranked.join(known, ["grp", "item"], "left").withColumn("legal", F.col("score").isNotNull())
 
@@ -140,7 +143,7 @@ def prediction_ranks(truth: DataFrame, ranked: DataFrame, heavy: DataFrame | Non
     """Per truth item its predicted rank: average ranks of the first legal namings by order value, then what is missing."""
     legal = ranked.filter(F.col("legal") & F.col("first")).select("grp", "item", "order_value", "pos")
     legal = numbered(legal, "grp", F.col("order_value"), [F.col("pos")], "number", heavy)
-    legal = average_rank(legal, "grp", "order_value", "number", "predicted_rank").select("grp", "item", "predicted_rank")
+    legal = average_rank(legal, "grp", "order_value", "number", "predicted_rank", heavy).select("grp", "item", "predicted_rank")
     sizes = legal.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
     rest = truth.select("grp", "item", "truth_rank").join(legal.select("grp", "item"), ["grp", "item"], "left_anti")
     rest = rest.withColumn("digest", missing_order(F.col("grp"), F.col("item")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.operators import policy, ranking
+from tallyweave.operators.ordering import heavy_groups
 from tallyweave.plans.common import BASE, predictions, r6, sql_r6, tasks, truth, truth_rows
 from tallyweave.session import cut, table
 
@@ -19,7 +20,7 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
 def _results(spark: SparkSession, d: str, mode: int, flags: DataFrame | None = None) -> DataFrame:
     known, said = cut(truth(spark, d)), cut(predictions(spark, d))
     flags = policy.group_flags(known, said, tasks(spark, d)) if flags is None else flags
-    return policy.evaluate(known, said, policy.decide(flags, mode))
+    return policy.evaluate(known, said, policy.decide(flags, mode), _heavy(known, said))
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:
@@ -27,9 +28,23 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
     return policy.summary(_results(spark, d, 1, flags), flags, ranking.truth_quality(truth_rows(spark, d)))
 
 
+def _heavy(known: DataFrame, said: DataFrame) -> DataFrame | None:
+    """Groups too large for one task's sort, on either side."""
+    return heavy_groups(known.select("grp").unionByName(said.select("grp")), "grp")
+
+
 def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    places = ranking.truth_places(truth(spark, d))
-    return places, ranking.joined(places, predictions(spark, d))
+    known, said = cut(truth(spark, d)), cut(predictions(spark, d))
+    heavy = _heavy(known, said)
+    places = ranking.truth_places(known, heavy)
+    return places, ranking.joined(places, said, heavy)
+
+
+def _prediction_ranks(spark: SparkSession, d: str) -> DataFrame:
+    known, said = cut(truth(spark, d)), cut(predictions(spark, d))
+    heavy = _heavy(known, said)
+    places = ranking.truth_places(known, heavy)
+    return ranking.prediction_ranks(places, ranking.joined(places, said, heavy), heavy)
 
 
 def _heads(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +62,8 @@ def e_truth_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e_placed(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.placed(predictions(spark, d)).select("grp", "item", "order_value", "input_index", "pos").groupBy("grp").agg(
+    said = cut(predictions(spark, d))
+    return ranking.placed(said, heavy_groups(said, "grp")).select("grp", "item", "order_value", "input_index", "pos").groupBy("grp").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("pos").alias("last_pos"), F.sum(F.col("pos") * F.pmod(F.col("input_index"), F.lit(97))).alias("order_sum")
     )
 
@@ -85,20 +101,22 @@ def e_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e_average_rank(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.truth_places(truth(spark, d)).select("grp", "item", "place", "truth_rank", r6(F.col("gain")).alias("gain"))
+    known = cut(truth(spark, d))
+    return ranking.truth_places(known, heavy_groups(known, "grp")).select("grp", "item", "place", "truth_rank", r6(F.col("gain")).alias("gain"))
 
 
 def e_prediction_rank(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.prediction_ranks(*_ranked(spark, d)).select("grp", "item", "predicted_rank")
+    return _prediction_ranks(spark, d).select("grp", "item", "predicted_rank")
 
 
 def e_spearman(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.spearman(ranking.prediction_ranks(*_ranked(spark, d))).select("grp", r6(F.col("spearman")).alias("spearman"))
+    return ranking.spearman(_prediction_ranks(spark, d)).select("grp", r6(F.col("spearman")).alias("spearman"))
 
 
 def e_replacement(spark: SparkSession, d: str) -> DataFrame:
     flags = _flags(spark, d).filter("NOT unknown")
-    return ranking.replacement(truth(spark, d), flags).select("grp", "item", "input_index")
+    known = cut(truth(spark, d))
+    return ranking.replacement(known, flags, heavy_groups(known, "grp")).select("grp", "item", "input_index")
 
 
 def e_flags(spark: SparkSession, d: str) -> DataFrame:

@@ -89,7 +89,7 @@ def test_structures_and_alignments(spark, tmp_path):
     assert [r["number"] for r in files.backbone(spark, [str(p)]).collect()] == [1]
     m = _write(tmp_path / "m.a3m", ">query x\nAC-aa\nDE.\n>hit\nAAAA\n")
     assert files.alignment_query(spark, [str(m)]).first()["query"] == "ACDE"
-    assert files.parse_settings("top: 1 # note\nmodels:\n  esm: '/x'\n  list:\n    - a\n    - b\n") == {"": {"top": "1"}, "models": {"esm": "/x", "list": ["a", "b"]}}
+    assert files.parse_settings("top: 1 # note\nmodels:\n  first: '/x'\n  list:\n    - a\n    - b\n") == {"": {"top": "1"}, "models": {"first": "/x", "list": ["a", "b"]}}
 
 
 def test_sinks(spark, tmp_path):
