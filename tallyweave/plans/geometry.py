@@ -31,8 +31,9 @@ def g_voxels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g_scattered(spark: SparkSession, d: str) -> DataFrame:
-    values = _points(spark, d).select((F.col("id") % 37).alias("slot"), "x").filter("slot < 30")
-    slots = _points(spark, d).select((F.col("id") % 37).alias("slot"))
+    """All points by id over 37 slots, and three more slots that no point falls into."""
+    values = _points(spark, d).select((F.col("id") % 37).alias("slot"), "x")
+    slots = spark.range(40).select(F.col("id").alias("slot"))
     return geometry.scattered(values, slots, "slot", "x").select("slot", r6(F.col("total")).alias("total"), r6(F.col("mean")).alias("mean"), F.when(F.col("top") > -1e300, r6(F.col("top"))).alias("top"))
 
 

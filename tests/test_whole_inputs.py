@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tallyweave.functions import mutation
-from tallyweave.plans import scoring
+from tallyweave.plans import geometry, scoring
 
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
@@ -26,3 +26,14 @@ def test_lookup_beyond_the_smallest_ids(spark, tmp_path):
     for r in rows:
         assert r["masked_marginal"] == pytest.approx(e[mutation.RESIDUES.index(alt)] - e[mutation.RESIDUES.index(wt)], abs=2e-6)
         assert r["mutant_logp"] < 0 and r["wt_logp"] < 0
+
+
+def test_scatter_leaves_no_point_out(spark):
+    got = {r["slot"]: (r["total"], r["mean"], r["top"]) for r in geometry.g_scattered(spark, SMALL).collect()}
+    points = duckdb.sql(f"SELECT vec_id % 37, CAST(embedding[1] AS DOUBLE) FROM '{SMALL}/embeddings.parquet'").fetchall()
+    assert set(got) == set(range(40))
+    for slot in range(40):
+        x = [v for s, v in points if s == slot]
+        want = (sum(x), sum(x) / len(x), max(x)) if x else (0.0, 0.0, None)
+        assert got[slot] == pytest.approx(want, abs=2e-6), slot
+    assert [s for s, v in got.items() if v[2] is None] == [37, 38, 39]
