@@ -18,10 +18,13 @@ from tallyweave.llm import tokens
 
 #: Kinds of cuts: the end of a paragraph, a line, a sentence, a word; inside a word; inside a character.
 PARAGRAPH, LINE, SENTENCE, WORD, TOKEN, BYTE = 5, 4, 3, 2, 1, 0
-#: What ends a sentence, and white space, by character code; codes above the table are neither.
-_TABLE = 0xFF20
-_ENDS, _BLANK = np.zeros(_TABLE + 1, bool), np.zeros(_TABLE + 1, bool)
+#: What ends a sentence, by itself (_WIDE) or before white space (_ENDS), what may close behind it, and white space, by character
+#: code; codes above the table are none of these. Straight quotes don't count as closing, as they open as well.
+_TABLE = 0xFF70
+_ENDS, _WIDE, _CLOSE, _BLANK = np.zeros((4, _TABLE + 1), bool)
 _ENDS[[ord(c) for c in ".!?。！？…"]] = True
+_WIDE[[ord(c) for c in "。！？"]] = True
+_CLOSE[[ord(c) for c in ")]’”〉》」』】〕〗〙〛）］｝｠｣"]] = True
 _BLANK[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 _BLOCK = 300_000
 _OUT = "doc_id bigint, limit_name string, piece_no int, first_token int, n_tokens int, first_char int, n_chars int, cut_kind int, piece string"
@@ -64,8 +67,8 @@ def reached(successor: np.ndarray, first: np.ndarray) -> np.ndarray:
         now, jump = np.flatnonzero(seen), jump[jump]
 
 
-def levels(chars: np.ndarray, before: np.ndarray, after: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """Kind of each boundary between a token that ends at ``before`` and one that starts at ``after``."""
+def levels(chars: np.ndarray, before: np.ndarray, after: np.ndarray, whole: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """Kind of each boundary between a token that ends at ``before`` and one that starts at ``after``; texts start at ``opens``."""
     padded = np.r_[np.zeros(3, np.uint32), chars, np.zeros(1, np.uint32)]
     code = np.minimum(padded, _TABLE)
     blank, newline = _BLANK[code], padded == 10
@@ -77,6 +80,13 @@ def levels(chars: np.ndarray, before: np.ndarray, after: np.ndarray, whole: np.n
     apart = (b > a + 1) | blank[b]
     level = np.where(apart | (blank[a] != blank[b]), np.int8(WORD), np.int8(TOKEN))
     level[_ENDS[code[a]] & apart] = SENTENCE
+    wide = _WIDE[code]
+    if wide.any():
+        close = _CLOSE[code]
+        goes_on = wide | close
+        close[opens + 3] = False  # what opens a text closes nothing before it
+        ended = wide[np.maximum.accumulate(np.where(close, 0, np.arange(len(code), dtype=np.int32)))]
+        level[ended[a] & (apart | ~goes_on[b])] = SENTENCE
     level[(gap_lines == 1) | ends_line] = LINE
     level[(gap_lines > 1) | (ends_line & second)] = PARAGRAPH
     level[~whole] = BYTE
@@ -116,7 +126,7 @@ class Block:
         self.before[right], self.after[right - 1], self.whole[right] = ends, starts, whole
         self.before[self.first], self.after[self.last] = text_at[:-1], text_at[1:]
         self.doc = np.repeat(docs, count + 1)
-        self.level = levels(self.chars, self.before, np.maximum(self.after, self.before), self.whole)
+        self.level = levels(self.chars, self.before, np.maximum(self.after, self.before), self.whole, text_at[:-1])
 
     def pieces(self, most: int, shared: int) -> dict[str, np.ndarray]:
         """Pieces of the texts with more than ``most`` tokens; texts below that give none."""
