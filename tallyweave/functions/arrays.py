@@ -37,6 +37,19 @@ def blend(logits: Column, prior: Column, alpha: float, times: int = 1) -> Column
     return F.coalesce(out, logits)
 
 
+def blend_both(logits: Column, structure: Column, residue: Column, alpha: float) -> Column:
+    """The structure prior blended in, then the residue prior, once each. A null structure prior is left out; where the residue
+    prior is null, outside its alignment, the plain logits stay. With the structure prior alone it is ``blend``, once."""
+    if alpha == 0:
+        return logits
+    return F.coalesce((1 - alpha) * blend(logits, structure, alpha) + alpha * residue, logits)
+
+
+def confident(b_factor: Column, value: Column, sequence_only: Column, threshold: float | None = 70.0) -> Column:
+    """``value``, but what the sequence alone gives for residues with a B-factor below ``threshold``, if there is one."""
+    return F.when(b_factor < threshold, sequence_only).otherwise(value) if threshold else value
+
+
 def structure_tokens(codes: Column) -> Column:
     """Codes moved by 3 between the start mark 1 and the end mark 2; null where a code is negative or null."""
     bad = F.exists(codes, lambda x: F.coalesce(x < 0, F.lit(True)))

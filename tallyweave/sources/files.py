@@ -241,6 +241,35 @@ def alignment_query(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.select("path", F.regexp_replace(F.substring(first, F.instr(first, "\n") + 1, F.lit(2147483647)), r"[a-z.\-\s]", "").alias("query"))
 
 
+def multi_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, place, header, sequence) of FASTA files: headers with their mark, upper case, each gap as ``<pad>``.
+
+    The last record of a repeated header counts, at the place of its first, counted from 0. Lines before a header go.
+    """
+    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = F.filter(F.transform(F.split("value", r"\r\n?|\n", -1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    parts = F.filter(F.split(F.array_join(lines, "\n"), "\n(?=>)", -1), lambda x: F.startswith(x, F.lit(">")))
+    found = rows.select("path", F.posexplode(parts).alias("place", "part")).select("path", "place", F.split("part", "\n", -1).alias("l"))
+    letters = F.upper(F.array_join(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), ""))
+    found = found.select("path", "place", F.get("l", F.lit(0)).alias("header"), F.regexp_replace(letters, "[-.]", "<pad>").alias("sequence"))
+    return found.groupBy("path", "header").agg(F.min("place").alias("place"), F.max_by("sequence", "place").alias("sequence")).select("path", "place", "header", "sequence")
+
+
+def variants(spark: SparkSession, path: str | Path) -> DataFrame:
+    """(input_index, mutation, eve_score) of a variants file; without any score all are null, else each row has to have a number."""
+    names = header(Path(path))
+    if "mutation" not in names:
+        raise SourceError(f"{path}: no column mutation")
+    rows = read_csv(spark, [Path(path)])
+    if "eve_score" not in names:
+        return rows.select("input_index", "mutation", F.lit(None).cast("double").alias("eve_score"))
+    number = F.when(F.col("eve_score").rlike(r"(?i)^\s*([+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?|[+-]?inf(inity)?|nan)\s*\z"), F.trim("eve_score").try_cast("double"))
+    counts = rows.agg(F.count_if(F.col("eve_score") != "").alias("given"), F.count_if(number.isNull()).alias("bad")).first()
+    if counts["given"] and counts["bad"]:
+        raise SourceError(f"{path}: {counts['bad']} rows have no number in eve_score")
+    return rows.select("input_index", "mutation", number.alias("eve_score"))
+
+
 def pdb_sequence(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, sequence, sound) from the alpha carbons of PDB files: fixed columns, one model, one chain, residues from 1 on."""
     #: Three-letter names of the residues.
