@@ -26,6 +26,7 @@ _ENDS[[ord(c) for c in ".!?。！？…"]] = True
 _WIDE[[ord(c) for c in "。！？"]] = True
 _CLOSE[[ord(c) for c in ")]’”〉》」』】〕〗〙〛）］｝｠｣"]] = True
 _BLANK[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
+#: Characters of the texts that are cut together.
 _BLOCK = 300_000
 _OUT = "doc_id bigint, limit_name string, piece_no int, first_token int, n_tokens int, first_char int, n_chars int, cut_kind int, piece string"
 
@@ -43,13 +44,14 @@ def farthest(level: np.ndarray, base: np.ndarray, stop: np.ndarray, most: int, s
     start[at == base] = base[at == base]
     reach = np.minimum(start + most, stop)
     best = reach.copy()
-    open_ = reach < stop
+    left = np.flatnonzero(reach < stop).astype(np.int32)
     for kind in (PARAGRAPH, LINE, SENTENCE, WORD, TOKEN):
-        last = np.maximum.accumulate(np.where(level >= kind, at, np.int32(-1)))[reach]
-        least = np.maximum(start + shared, start + int(most * fill)) if kind > WORD else start + shared
-        hit = open_ & (last > least)
-        best[hit] = last[hit]
-        open_ &= ~hit
+        if not len(left):
+            break
+        last = np.maximum.accumulate(np.where(level >= kind, at, np.int32(-1)))[reach[left]]
+        hit = last > start[left] + (max(shared, int(most * fill)) if kind > WORD else shared)
+        best[left[hit]] = last[hit]
+        left = left[~hit]
     return best
 
 
@@ -94,80 +96,94 @@ def levels(chars: np.ndarray, before: np.ndarray, after: np.ndarray, whole: np.n
 
 
 class Block:
-    """Some texts with their tokens' places in the texts joined together."""
-
-    def __init__(self, texts: list[str], encoder):
-        joined = "".join(texts)
-        self.chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        text_at = np.cumsum([0, *map(len, texts)])
-        if isinstance(encoder, tokens.ByteEncoder):
-            ids = [np.frombuffer(encoder.encode(t), np.int32) for t in texts]
-            count = np.array([len(i) for i in ids])
-            ends = np.cumsum(encoder.sizes[np.concatenate(ids)].astype(np.int64))
-            starts = ends - encoder.sizes[np.concatenate(ids)]
-            data = np.frombuffer(joined.encode(), np.uint8)
-            head = np.r_[(data & 0xC0) != 0x80, True]
-            chars_to = np.r_[0, np.cumsum(head[:-1])]
-            whole = head[ends]
-            ends, starts = chars_to[ends], chars_to[starts] - ~head[starts]
+    """Those of some texts that have more than ``least`` tokens, with their tokens' places in these texts joined together.
+
+    Tokens are counted for all texts first; places are worked out for the long ones only.
+    """
+
+    def __init__(self, texts: list[str], cut: tokens.Stretches, encoder, least: int):
+        byte = isinstance(encoder, tokens.ByteEncoder)
+        if byte:
+            ids, counts = encoder.runs(cut)
+            count = tokens.sums(counts, cut.per_text)
         else:
-            spans = [encoder.spans(t) for t in texts]
-            count = np.array([len(s) for s, _ in spans])
-            shift = np.repeat(text_at[:-1], count)
-            starts, ends = np.concatenate([s for s, _ in spans]) + shift, np.concatenate([e for _, e in spans]) + shift
+            starts, ends, count = encoder.places(cut)
+        big = count > least
+        self.chosen, length = np.flatnonzero(big), np.fromiter(map(len, texts), np.int64, len(texts))
+        token, self.count = np.repeat(big, count), count[big]
+        text_at = np.concatenate([np.zeros(1, np.int64), np.cumsum(length[big])])
+        self.text_at, self.joined = text_at, "".join([texts[i] for i in self.chosen.tolist()])
+        self.chars = np.frombuffer(self.joined.encode("utf-32-le"), np.uint32)
+        if byte:
+            size = encoder.sizes[ids[token]].astype(np.int64)
+            ends = np.cumsum(size)
+            starts = ends - size
+            if len(data := self.joined.encode()) == len(self.joined):
+                whole = np.ones(len(ends), bool)
+            else:
+                head = np.concatenate([(np.frombuffer(data, np.uint8) & 0xC0) != 0x80, np.ones(1, bool)])
+                chars_to = np.concatenate([np.zeros(1, np.int64), np.cumsum(head[:-1])])
+                whole = head[ends]
+                ends, starts = chars_to[ends], chars_to[starts] - ~head[starts]
+        else:
+            moved = np.repeat(text_at[:-1] - (np.cumsum(length) - length)[big], self.count)
+            starts, ends = starts[token] + moved, ends[token] + moved
             whole = ends > starts
-        docs = np.arange(len(texts))
-        self.count = count
-        self.first = (np.cumsum(np.r_[0, count[:-1]]) + docs).astype(np.int32)
-        self.last = (self.first + count).astype(np.int32)
-        size = int(count.sum()) + len(texts)
-        right = np.arange(int(count.sum())) + np.repeat(docs, count) + 1
+        docs = np.arange(len(self.count))
+        self.first = (np.cumsum(self.count) - self.count + docs).astype(np.int32)
+        self.last = (self.first + self.count).astype(np.int32)
+        size = len(ends) + len(docs)
+        right = np.arange(len(ends)) + np.repeat(docs, self.count) + 1
         self.before, self.after, self.whole = np.zeros(size, np.int64), np.zeros(size, np.int64), np.ones(size, bool)
         self.before[right], self.after[right - 1], self.whole[right] = ends, starts, whole
         self.before[self.first], self.after[self.last] = text_at[:-1], text_at[1:]
-        self.doc = np.repeat(docs, count + 1)
+        self.doc = np.repeat(docs, self.count + 1)
         self.level = levels(self.chars, self.before, np.maximum(self.after, self.before), self.whole, text_at[:-1])
 
     def pieces(self, most: int, shared: int) -> dict[str, np.ndarray]:
         """Pieces of the texts with more than ``most`` tokens; texts below that give none."""
-        base, stop = self.first[self.doc], self.last[self.doc]
-        at = np.arange(len(self.doc), dtype=np.int32)
-        level = self.level.copy()
-        # where the next piece starts has to be a whole character too
-        level[~self.whole[np.maximum(at - shared, base)]] = BYTE
         big = self.count > most
-        seen = reached(farthest(level, base, stop, most, shared), self.first[big])
-        cuts = np.flatnonzero(seen & (at > base))
+        use = np.flatnonzero(np.repeat(big, self.count + 1))
+        # boundaries of the long texts only, numbered anew
+        length = (self.count + 1)[big]
+        first = (np.cumsum(length) - length).astype(np.int32)
+        base, stop = np.repeat(first, length), np.repeat(first + length.astype(np.int32) - 1, length)
+        at = np.arange(len(use), dtype=np.int32)
+        level, whole = self.level[use], self.whole[use]
+        # where the next piece starts has to be a whole character too
+        level[~whole[np.maximum(at - shared, base)]] = BYTE
+        seen = reached(farthest(level, base, stop, most, shared), first)
+        kept = np.flatnonzero(seen & (at > base))
+        cuts, level = use[kept], level[kept]
         doc = self.doc[cuts]
         opens = np.r_[True, doc[1:] != doc[:-1]] if len(cuts) else np.zeros(0, bool)
-        begin = np.where(opens, self.first[doc], np.r_[0, cuts[:-1]][: len(cuts)] - shared)
+        begin = np.where(opens, self.first[doc], np.concatenate([np.zeros(1, np.int64), cuts])[: len(cuts)] - shared)
         nth = np.arange(len(cuts)) - np.maximum.accumulate(np.where(opens, np.arange(len(cuts)), 0))
         head = np.where(begin == self.first[doc], self.before[begin], self.after[begin])
         tail = np.where(cuts == self.last[doc], self.after[cuts], self.before[cuts])
-        kind = np.where(cuts == self.last[doc], PARAGRAPH, level[cuts])
+        kind = np.where(cuts == self.last[doc], PARAGRAPH, level)
         return {"doc": doc, "piece_no": nth, "first_token": begin - self.first[doc], "n_tokens": cuts - begin, "head": head, "tail": np.maximum(tail, head), "kind": kind}
 
 
-def split_texts(texts: list[str], name: str, limits: list[tuple[str, int, int]], folder: str = tokens.TOKENIZERS) -> Iterator[tuple]:
+Limits = list[tuple[str, int, int]]
+
+
+def split_texts(texts: list[str | None], name: str, limits: Limits, folder: str = tokens.TOKENIZERS) -> Iterator[tuple]:
     """(text number, limit_name, piece_no, first_token, n_tokens, first_char, n_chars, cut_kind, piece) columns, block by block."""
-    encoder = tokens.load(name, folder)
-    least = min(m for _, m, _ in limits)
-    # a text has at most as many tokens as bytes; a character has four bytes at most, and normalising it at most triples them
-    wanted = [i for i, t in enumerate(texts) if t and (1 if t.isascii() else 4 if isinstance(encoder, tokens.ByteEncoder) else 12) * len(t) > least]
-    start = 0
-    while start < len(wanted):
-        stop, size = start, 0
-        while stop < len(wanted) and (size == 0 or size + len(texts[wanted[stop]]) <= 2 * _BLOCK):
-            size += len(texts[wanted[stop]])
-            stop += 1
-        chosen = [texts[i] for i in wanted[start:stop]]
-        block, joined = Block(chosen, encoder), "".join(chosen)
-        at = np.cumsum([0, *map(len, chosen)])
-        for limit, most, shared in limits:
-            p = block.pieces(most, shared)
-            piece = [joined[a:b] for a, b in zip(p["head"].tolist(), p["tail"].tolist())]
-            yield np.array(wanted[start:stop])[p["doc"]], limit, p["piece_no"], p["first_token"], p["n_tokens"], p["head"] - at[p["doc"]], p["tail"] - p["head"], p["kind"], piece
-        start = stop
+    return split_all(texts, {name: limits}, folder)
+
+
+def split_all(texts: list[str | None], by: dict[str, Limits], folder: str = tokens.TOKENIZERS) -> Iterator[tuple]:
+    """As split_texts, for the limits of several tokenizers, whose texts are cut into stretches once."""
+    for start, lot in tokens.batches_of(texts, _BLOCK):
+        stretches = tokens.Stretches(lot)
+        for name, limits in by.items():
+            block = Block(lot, stretches, tokens.load(name, folder), min(m for _, m, _ in limits))
+            joined, at = block.joined, block.text_at
+            for limit, most, shared in limits if len(block.chosen) else ():
+                p = block.pieces(most, shared)
+                piece = [joined[a:b] for a, b in zip(p["head"].tolist(), p["tail"].tolist())]
+                yield start + block.chosen[p["doc"]], limit, p["piece_no"], p["first_token"], p["n_tokens"], p["head"] - at[p["doc"]], p["tail"] - p["head"], p["kind"], piece
 
 
 def split(docs: DataFrame, limits: DataFrame, folder: str = tokens.TOKENIZERS) -> DataFrame:
@@ -187,11 +203,10 @@ def split(docs: DataFrame, limits: DataFrame, folder: str = tokens.TOKENIZERS) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for name, wanted in by.items():
-                for doc, limit, *numbers, piece in split_texts(texts, name, wanted, folder):
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(doc, pa.int64())), pa.array([limit] * len(doc), pa.string()), *(pa.array(x, pa.int32()) for x in numbers), pa.array(piece, pa.string())],
-                        names=[c.split()[0] for c in _OUT.split(", ")],
-                    )
+            for doc, limit, *numbers, piece in split_all(texts, by, folder):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(doc, pa.int64())), pa.array([limit] * len(doc), pa.string()), *(pa.array(x, pa.int32()) for x in numbers), pa.array(piece, pa.string())],
+                    names=[c.split()[0] for c in _OUT.split(", ")],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(run, _OUT)

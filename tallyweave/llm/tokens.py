@@ -8,8 +8,10 @@ Three facts bound the lookahead, all computed from the vocabulary or its splitti
   longest token. Two tokens may stand side by side exactly if encoding both together gives them back, so each prefix
   has one last token and the prefixes form a tree; a token boundary that all ``L`` last prefixes descend from is final.
 
-Pieces between final places repeat, so their ids are remembered in bounded tables. Working memory doesn't depend on the
-length of a text.
+Every text goes through the transducer, a block of ``_BLOCK`` characters at a time; what isn't final waits for the next
+block, and the state doesn't grow with the text. What became final is cut further into stretches that every tokenizer here
+reads alike whatever stands around them. Tables give each stretch's tokens, found once and copied together for many texts;
+they forget what the last texts didn't use. Where tokens are counted or placed only, whole texts are cut that way at once.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,33 +32,167 @@ from pyspark.sql import DataFrame
 TOKENIZERS = "/opt/tokenizers"
 #: The pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The same splits where all characters are ASCII, and those of the tokenizer that drops white space.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 #: Unicode White_Space.
 _WS = r" \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WS_CHARS = "".join(chr(c) for c in range(0x3001) if re.match(f"[{_WS}]", chr(c)))
-_SEGMENT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-_CUT = re.compile(f"[^{_WS}](?=[{_WS}])")
-_BLOCK, _LONG, _REMEMBER, _KEY = 1 << 18, 1 << 14, 150_000, 48
-
-
-class Memo(dict):
-    """Remembers what ``make`` gives for short keys, up to a fixed number of them."""
-
-    def __init__(self, make: Callable, most: int = _REMEMBER):
+#: What of a reversed text may still change: the last run and the white space before it.
+_LAST = re.compile(f"[^{_WS}]+[{_WS}]*|[{_WS}]+")
+#: Characters read and characters resolved at a time, strings a table holds before it forgets, and the longest it keeps. No result depends on them.
+_BLOCK, _LOT, _REMEMBER, _KEY = 1 << 12, 1 << 18, 100_000, 48
+#: Kinds of bytes: white space, letters, digits, other ASCII, beyond ASCII.
+_SPACE, _LETTER, _DIGIT, _OTHER, _BEYOND = range(5)
+_KIND = np.full(256, _OTHER, np.int8)
+_KIND[128:] = _BEYOND
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_WIDE_BLANKS = [c.encode() for c in _WS_CHARS if not c.isascii()]
+
+
+class _Numbers(dict):
+    """Numbers of strings, given out as they are met; ``fresh`` holds what has no values yet."""
+
+    def __init__(self, first: int = 0):
         super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= _KEY and len(self) < self.most:
-            self[key] = value
-        return value
-
+        self.next, self.fresh = first, []
+
+    def __missing__(self, key) -> int:
+        n = self[key] = self.next
+        self.next = n + 1
+        self.fresh.append(key)
+        return n
+
+
+class Table:
+    """A run of 32-bit integers for each string, made for many new strings at once and looked up together by number."""
+
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.make = make
+        self._reset(_Numbers(), np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def _reset(self, at: _Numbers, values: np.ndarray, counts: np.ndarray) -> None:
+        self.at, self.size, self.used = at, len(counts), len(values)
+        self.values, self.count, self.first = (np.concatenate([x, np.zeros(len(x) + 4096, x.dtype)]) for x in (values, counts, np.cumsum(counts) - counts))
+
+    def add(self, values) -> int:
+        """Number of a run that has no string."""
+        at = self.at
+        at.fresh.append(values if type(values) is list else list(values))
+        at.next += 1
+        return at.next - 1
+
+    def _fill(self) -> None:
+        fresh, self.at.fresh = self.at.fresh, []
+        named = [x for x in fresh if type(x) is str]
+        values, counts = self.make(named)
+        values, counts = _merged(fresh, values, counts)
+        for name, more, end in (("values", len(values), self.used), ("count", len(counts), self.size), ("first", len(counts), self.size)):
+            if end + more > len(held := getattr(self, name)):
+                setattr(self, name, np.concatenate([held, np.zeros(len(held) + more, held.dtype)]))
+        self.values[self.used : self.used + len(values)] = values
+        self.count[self.size : self.size + len(counts)] = counts
+        self.first[self.size : self.size + len(counts)] = self.used + np.cumsum(counts) - counts
+        self.used, self.size = self.used + len(values), self.size + len(counts)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of these numbers one after another, and how long each is."""
+        if self.at.fresh:
+            self._fill()
+        count = self.count[numbers]
+        return self.values[_spread(self.first[numbers], count)], count
+
+    def trim(self, numbers: np.ndarray) -> None:
+        """Forget, if the table is full, all but the short strings among ``numbers``. Numbers given out before are void then."""
+        if self.size <= _REMEMBER:
+            return
+        used = np.zeros(self.size, bool)
+        used[numbers] = True
+        kept = [(s, n) for s, n in self.at.items() if used[n] and len(s) <= _KEY][: _REMEMBER // 2]
+        values, counts = self.take(np.array([n for _, n in kept], np.int64))
+        at = _Numbers(len(kept))
+        at.update((s, i) for i, (s, _) in enumerate(kept))
+        self._reset(at, values, counts)
+
+
+def _spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each entry, ``counts`` places each."""
+    end = np.cumsum(counts)
+    return np.repeat(first - end + counts, counts) + np.arange(end[-1] if len(end) else 0)
+
+
+def _merged(parts: list, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of all parts in order: ``values`` holds those of the strings among them, the others are runs themselves."""
+    if len(counts) == len(parts):
+        return values, counts
+    own = np.fromiter((type(x) is str for x in parts), bool, len(parts))
+    runs = [x for x in parts if type(x) is not str]
+    size = np.zeros(len(parts), np.int64)
+    size[own], size[~own] = counts, list(map(len, runs))
+    first, whole = np.cumsum(size) - size, np.zeros(int(size.sum()), np.int32)
+    whole[_spread(first[own], counts)] = values
+    whole[_spread(first[~own], size[~own])] = np.frombuffer(array("i", chain.from_iterable(runs)), np.int32)
+    return whole, size
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of ``values``, which may be empty."""
+    to = np.concatenate([np.zeros(1, np.int64), np.cumsum(values)])
+    end = np.cumsum(counts)
+    return to[end] - to[end - counts]
+
+
+class Stretches:
+    """Texts cut where every tokenizer here cuts, too: before white space, and between runs of letters, digits and others.
+
+    A stretch has the white space before it in front. An apostrophe stays with the letters behind it, and what stands between
+    white space is one stretch if it holds a character beyond ASCII. ``keys`` are the different stretches, ``number`` tells
+    which one stands at each place, ``per_text`` how many places each text has.
+    """
 
-class ByteEncoder:
-    """Byte-level BPE from a rank file. Ids come as the bytes of 32-bit integers."""
+    def __init__(self, texts: list[str]):
+        coded = [t.encode() for t in texts]
+        raw = b"".join(coded)
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        data = np.frombuffer(raw, np.uint8)
+        kind = _KIND[data]
+        if not raw.isascii():
+            for blank in _WIDE_BLANKS:
+                at = raw.find(blank)
+                while at >= 0:
+                    kind[at : at + len(blank)] = _SPACE
+                    at = raw.find(blank, at + len(blank))
+        space = kind == _SPACE
+        begins = np.zeros(len(data) + 1, bool)
+        begins[1:-1] = space[1:] & ~space[:-1]
+        begins[(np.cumsum(size) - size)[size > 0]] = True
+        begins = begins[:-1]
+        run = np.flatnonzero(begins)
+        if len(run):
+            plain = np.repeat(np.maximum.reduceat(kind, run) < _BEYOND, np.diff(run, append=len(data)))
+            turns = (kind[1:] != kind[:-1]) & ~space[1:] & ~space[:-1] & plain[1:] & ~((data[:-1] == 39) & (kind[1:] == _LETTER))
+            begins[1:] |= turns
+        at = np.flatnonzero(begins)
+        offsets = np.append(at, len(data)).astype(np.int64)
+        told = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+        self.number, self.keys = told.indices.to_numpy(), told.dictionary.to_pylist()
+        self.per_text = np.diff(np.searchsorted(at, np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])))
+
+
+class Tabled:
+    """An encoder with a table of stretches; what a stretch's run holds is the subclass's matter."""
+
+    table: Table
+
+    def runs(self, cut: Stretches) -> tuple[np.ndarray, np.ndarray]:
+        """Values and lengths of the runs of all stretches."""
+        numbers = np.fromiter(map(self.table.at.__getitem__, cut.keys), np.int64, len(cut.keys))
+        out = self.table.take(numbers[cut.number])
+        self.table.trim(numbers)
+        return out
+
+
+class ByteEncoder(Tabled):
+    """Byte-level BPE from a rank file."""
 
     def __init__(self, folder: str, name: str):
         import tiktoken
@@ -65,49 +202,67 @@ class ByteEncoder:
         self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})._core_bpe
         self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int32)
         self.tokens = {i: t for t, i in self.ranks.items()}
+        #: Longest token that ends with these two bytes, so a prefix need not be tried beyond.
+        self.back: dict[bytes, int] = {}
         for token, i in self.ranks.items():
             self.sizes[i] = len(token)
+            self.back[token[-2:]] = max(self.back.get(token[-2:], 1), len(token))
         self.longest = int(self.sizes.max())
-        self._splits = Memo(self._raw)
-        self._segments = Memo(self._segment)
+        #: Characters that have to follow before anything inside a run is looked at.
+        self.lookahead = 2 * self.longest
         self._fit: dict[tuple[int, int], bool] = {}
+        self.table = Table(self._ids)
+
+    def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = list(map(self.core.encode_ordinary, parts))
+        return np.frombuffer(array("i", chain.from_iterable(ids)), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def resolved(self, parts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of what streams made final, one after another, and how many each part has."""
+        cut = Stretches([x for x in parts if type(x) is str])
+        ids, counts = self.runs(cut)
+        return _merged(parts, ids, sums(counts, cut.per_text))
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and how many each has."""
+        out, ends, waiting, got = [], [0], 0, []
+        for text in texts:
+            stream = ByteStream(self, out)
+            for i in range(0, len(text), _BLOCK):
+                stream.push(text[i : i + _BLOCK])
+                waiting += min(_BLOCK, len(text) - i)
+                if waiting >= _LOT:
+                    got.append((len(out), *self.resolved(out)))
+                    waiting = 0
+                    out.clear()
+            stream.finish()
+            ends.append(sum(n for n, _, _ in got) + len(out))
+        got.append((len(out), *self.resolved(out)))
+        _, ids, counts = zip(*got)
+        return np.concatenate(ids), sums(np.concatenate(counts), np.diff(np.array(ends, np.int64)))
 
-    def _raw(self, text: str) -> bytes:
-        return array("i", self.core.encode_ordinary(text)).tobytes()
-
-    def piece(self, data: bytes) -> bytes:
-        """Ids of bytes that form one split."""
-        return array("i", self.core.encode_single_piece(data)).tobytes() if data else b""
-
-    def _segment(self, text: str) -> bytes:
-        if len(text) > _LONG:
-            stream = ByteStream(self)
-            return b"".join([*(stream.push(text[i : i + _LONG]) for i in range(0, len(text), _LONG)), stream.finish()])
-        if text.isascii():
-            return b"".join(map(self._splits.__getitem__, _ASCII.findall(text)))
-        return self._raw(text)
+    def encode(self, text: str) -> bytes:
+        """Ids as the bytes of 32-bit integers."""
+        return self.ids([text])[0].tobytes()
 
-    def bounded(self, text: str) -> bytes:
-        """Ids of a text of bounded length."""
-        return b"".join(map(self._segments.__getitem__, _SEGMENT.findall(text)))
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """Number of tokens of each text."""
+        return sums(self.runs(cut := Stretches(texts))[1], cut.per_text)
 
-    def encode(self, text: str) -> bytes:
-        if len(text) <= _BLOCK:
-            return self.bounded(text)
-        stream = ByteStream(self)
-        return b"".join([*(stream.push(text[i : i + _BLOCK]) for i in range(0, len(text), _BLOCK)), stream.finish()])
+    def count(self, text: str) -> int:
+        return int(self.counts([text])[0])
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token b may follow token a."""
         key = (a, b)
         known = self._fit.get(key)
         if known is None:
-            known = self.core.encode_single_piece(self.tokens[a] + self.tokens[b]) == [a, b]
-            if len(self._fit) < 4 * _REMEMBER:
-                self._fit[key] = known
+            if len(self._fit) > _REMEMBER:
+                self._fit.clear()
+            known = self._fit[key] = self.core.encode_single_piece(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
 
-    def settled(self, data: bytes) -> tuple[bytes, int]:
+    def settled(self, data: bytes) -> tuple[list[int], int]:
         """Ids of an unfinished split that are final, and how many bytes they cover (0: none yet)."""
         ids = self.core.encode_single_piece(data)
         ends = np.cumsum(self.sizes[ids])
@@ -115,15 +270,15 @@ class ByteEncoder:
         while span < len(data):
             k = int(np.searchsorted(ends, len(data) - span, "right"))
             if k and self._holds(data, int(ends[k - 1]), ids[k - 1]):
-                return array("i", ids[:k]).tobytes(), int(ends[k - 1])
+                return ids[:k], int(ends[k - 1])
             span *= 2
-        return b"", 0
+        return [], 0
 
     def _holds(self, data: bytes, start: int, before: int) -> bool:
         """Whether the last prefixes of data all descend from the one that ends at start."""
-        last = {start: before}
+        last, back = {start: before}, self.back
         for end in range(start + 1, len(data) + 1):
-            for begin in range(max(start, end - self.longest), end):
+            for begin in range(max(start, end - back.get(data[end - 2 : end], 1)), end):
                 token = self.ranks.get(data[begin:end])
                 if token is not None and begin in last and self.fits(last[begin], token):
                     last[end] = token
@@ -132,46 +287,49 @@ class ByteEncoder:
 
 
 class ByteStream:
-    """Feeds blocks of a text of any length to a ByteEncoder; push and finish give the ids that became final."""
+    """Takes blocks of a text of any length; appends to ``out`` what became final: text to be read by itself, or ids."""
 
     _kinds = None
 
-    def __init__(self, encoder: ByteEncoder):
+    def __init__(self, encoder: ByteEncoder, out: list):
+        self.encoder, self.out = encoder, out
+        self.rest, self.kind, self.open, self.tried = "", None, b"", 0
+
+    def push(self, block: str) -> None:
+        text = self.rest + block
+        if self.kind is not None:
+            text = self._extend(text)
+            if self.kind is not None:
+                return
+        last = _LAST.match(text[::-1])
+        cut = len(text) - last.end() if last else 0
+        if cut:
+            self.out.append(text[:cut])
+        self.rest = text[cut:]
+        if last and last.end() > self.encoder.lookahead:
+            self._inside()
+
+    def _inside(self) -> None:
+        """Emit what is final inside a run longer than the lookahead; a split that still goes on stays open."""
         import regex
 
         if ByteStream._kinds is None:
             ByteStream._kinds = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", rf"[{_WS}]+", rf"[^\p{{L}}\p{{N}}{_WS}]+")]
             ByteStream._pattern = regex.compile(PATTERN.replace(r"[^\s", f"[^{_WS}").replace(r"\S", f"[^{_WS}]").replace(r"\s", f"[{_WS}]"))
-        self.encoder, self.rest, self.kind, self.open = encoder, "", None, b""
-
-    def push(self, block: str) -> bytes:
-        out, text = [], self.rest + block
-        self.rest = ""
-        if self.kind is not None:
-            text = self._extend(text, out)
-            if self.kind is not None:
-                return b"".join(out)
-        cut = 0
-        for m in _CUT.finditer(text):
-            cut = m.end()
-        out.append(self.encoder.bounded(text[:cut]))
-        text = text[cut:]
-        if len(text) > _LONG:
-            end = 0
-            splits = list(self._pattern.finditer(text))
-            for m in splits[:-1]:
-                if m.end() > len(text) - 3:
-                    break
-                out.append(self.encoder.piece(m.group().encode()))
-                end = m.end()
-            text = text[end:]
-            if len(text) > _LONG and end == splits[-1].start():
-                self.kind = next(k for k in self._kinds if k.fullmatch(text, len(text) - 1))
-                text = self._extend(text, out, True)
-        self.rest = self.rest or text
-        return b"".join(out)
-
-    def _extend(self, text: str, out: list[bytes], start: bool = False) -> str:
+        text, end = self.rest, 0
+        splits = list(self._pattern.finditer(text))
+        for m in splits[:-1]:
+            if m.end() > len(text) - 3:
+                break
+            self.out.append(m.group())
+            end = m.end()
+        self.rest = text = text[end:]
+        if len(text) > self.encoder.lookahead and end == splits[-1].start():
+            self.kind, self.tried = next(k for k in self._kinds if k.fullmatch(text, len(text) - 1)), 0
+            self.rest = ""
+            self._extend(text, True)
+
+    def _extend(self, text: str, start: bool = False) -> str:
         """Take what still belongs to the open split; returns what follows it."""
         space = self.kind is self._kinds[2]
         m = self.kind.match(text, 1 if start and text[0] == " " and not space else 0)
@@ -180,23 +338,24 @@ class ByteStream:
         # the last character of white space may yet belong to what follows
         keep = max(0, end - 1) if space else end
         self.open += text[:keep].encode()
+        self.rest = ""
         if not whole:
-            out.append(self.encoder.piece(self.open))
+            self.out.append(self.encoder.core.encode_single_piece(self.open))
             self.kind, self.open = None, b""
             return text[keep:]
         self.rest = text[keep:]
-        if len(self.open) > _LONG:
+        # an open split without a final place is looked at again once it is twice as long
+        if len(self.open) > max(self.encoder.lookahead, 2 * self.tried):
             ids, size = self.encoder.settled(self.open)
-            out.append(ids)
-            self.open = self.open[size:]
+            self.out.append(ids)
+            self.open, self.tried = self.open[size:], 0 if size else len(self.open)
         return ""
 
-    def finish(self) -> bytes:
+    def finish(self) -> None:
         if self.kind is not None:
-            return self.encoder.piece(self.open + self.rest.encode())
-        if len(self.rest) > _LONG:
-            return b"".join(self.encoder.piece(m.group().encode()) for m in self._pattern.finditer(self.rest))
-        return self.encoder.bounded(self.rest)
+            self.out.append(self.encoder.core.encode_single_piece(self.open + self.rest.encode()))
+        elif self.rest:
+            self.out.append(self.rest)
 
 
 class Decoder:
@@ -213,7 +372,7 @@ class Decoder:
 
 
 class PieceCounter:
-    """Number of tokens under a sentencepiece BPE model.
+    """Number of tokens under a sentencepiece BPE model; a stretch's run is that number.
 
     No piece has a blank after anything but blanks, so blanks after other characters separate. Characters that occur in no
     piece with others stand alone. Both are read off the model; where the first fails, whole texts are encoded.
@@ -233,26 +392,50 @@ class PieceCounter:
         joined = {c for p in pieces if len(p) > 1 for c in p}
         alone = "".join(c for c in map(chr, range(128)) if c not in joined and c != " ")
         self.alone = re.compile("[" + re.escape(alone) + "]") if alone else None
-        self._parts = Memo(lambda x: len(self.bare.encode(x)))
-        self._segments = Memo(self._segment)
+        self.table, self.bits = Table(self._stretches), Table(self._bits)
         self._find = re.compile(" *[^ ]+| +").findall
 
-    def _segment(self, text: str) -> int:
-        if self.alone is None:
-            return len(self.bare.encode(text))
-        parts = self.alone.split(text)
-        return len(parts) - 1 + sum(map(self._parts.__getitem__, filter(None, parts)))
+    def _bits(self, bits: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.array([len(x) for x in self.bare.encode(bits, num_threads=1)] if bits else [], np.int32)
+        return counts, np.ones(len(counts), np.int64)
+
+    def _stretches(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        number, out, counts, alone = self.bits.at.__getitem__, array("q"), [], []
+        for part in parts:
+            found = self.alone.split(part) if self.alone else [part]
+            alone.append(len(found) - 1)
+            found = list(filter(None, found))
+            out.extend(map(number, found))
+            counts.append(len(found))
+        numbers = np.frombuffer(out, np.int64)
+        got, _ = self.bits.take(numbers)
+        self.bits.trim(numbers)
+        return (sums(got, np.array(counts, np.int64)) + np.array(alone, np.int64)).astype(np.int32), np.ones(len(parts), np.int64)
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """Number of tokens of each text."""
+        if not self.separable:
+            return np.array([len(self.model.encode(t)) if t else 0 for t in texts], np.int64)
+        out, ends = array("q"), [0]
+        for text in texts:
+            if text:
+                out.extend(map(self.table.at.__getitem__, self._find(" " + text)))
+            ends.append(len(out))
+        numbers = np.frombuffer(out, np.int64)
+        values, _ = self.table.take(numbers)
+        self.table.trim(numbers)
+        return sums(values, np.diff(np.array(ends, np.int64)))
 
     def count(self, text: str) -> int:
-        if not text:
-            return 0
-        if not self.separable:
-            return len(self.model.encode(text))
-        return sum(map(self._segments.__getitem__, self._find(" " + text)))
+        return int(self.counts([text])[0])
+
 
+class WordEncoder(Tabled):
+    """The lower-casing BPE with word ends: how many tokens, and the characters each token covers.
 
-class WordEncoder:
-    """The lower-casing BPE with word ends: numbers of tokens and the characters each token covers."""
+    A stretch's run is its number of blanks in front, then the number of characters each token adds; of tokens that share a
+    character the last adds it, characters that the normaliser drops go with the token before them.
+    """
 
     def __init__(self, folder: str, name: str):
         from tokenizers import Tokenizer
@@ -263,49 +446,62 @@ class WordEncoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int32)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token.removesuffix("</w>"))
-        self._splits = Memo(self._split)
-        self._segments = Memo(self._segment)
-
-    def _split(self, text: str) -> bytes:
-        """How many characters each token adds, as 32-bit integers. Of tokens that share a character the last adds it."""
-        found = self.model.encode(text, add_special_tokens=False)
-        if text.isascii():
-            return self.sizes[found.ids].tobytes()
-        spans = found.offsets
-        at, out = spans[0][0] if spans else 0, array("i")
-        for i, (_, e) in enumerate(spans):
-            e = at if i + 1 < len(spans) and spans[i + 1][0] < e else e
+        self.table = Table(self._stretches)
+
+    def _covered(self, bare: str) -> list[int]:
+        found = self.model.encode(bare, add_special_tokens=False).offsets
+        ends = [e for _, e in found]
+        out, at = [], 0
+        for i, e in enumerate(ends):
+            e = len(bare) if i + 1 == len(ends) else at if found[i + 1][0] < e else e
             out.append(e - at)
             at = e
-        return out.tobytes()
-
-    def _segment(self, text: str) -> tuple[bytes, int, int]:
-        """What _split gives for a segment, its number of tokens, and how many blanks stand before the first."""
-        bare = text.lstrip(_WS_CHARS)
-        size = b"".join(map(self._splits.__getitem__, _ASCII_WORDS.findall(bare.lower()))) if text.isascii() else self._split(bare)
-        return size, len(size) // 4, len(text) - len(bare)
+        return out
+
+    def _stretches(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        bares = [p.lstrip(_WS_CHARS) for p in parts]
+        plain = [b.isascii() for b in bares]
+        size = self.sizes.tolist()
+        words = [b for b, p in zip(bares, plain) if p and b and not b.isdigit()]
+        found = iter(self.model.encode_batch_fast(words, add_special_tokens=False) if words else [])
+        out, counts = array("i"), array("q")
+        for part, bare, ascii_only in zip(parts, bares, plain):
+            if not bare:
+                run = []
+            elif not ascii_only:
+                run = self._covered(bare)
+            elif bare.isdigit():
+                run = [1] * len(bare)
+            else:
+                run = [size[i] for i in next(found).ids]
+            out.append(len(part) - sum(run))
+            out.extend(run)
+            counts.append(1 + len(run))
+        return np.frombuffer(out, np.int32), np.frombuffer(counts, np.int64)
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """Number of tokens of each text."""
+        cut = Stretches(texts)
+        return sums(self.runs(cut)[1] - 1, cut.per_text)
 
     def count(self, text: str) -> int:
-        return sum(self._segments[s][1] for s in _SEGMENT.findall(text))
+        return int(self.counts([text])[0])
+
+    def places(self, cut: Stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First character of each token in the joined texts and the one after its last, and how many tokens each text has."""
+        values, counts = self.runs(cut)
+        first = np.cumsum(counts) - counts
+        inner = np.ones(len(values), bool)
+        inner[first] = False
+        size = values[inner].astype(np.int64)
+        # a stretch without tokens adds its characters to the gap before the next token
+        gap = np.bincount(first - np.arange(len(first)), values[first], len(size) + 1).astype(np.int64)
+        ends = np.cumsum(size + gap[:-1])
+        return ends - size, ends, sums(counts - 1, cut.per_text)
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First character of each token and the one after its last; equal ends mark tokens inside a character."""
-        got = list(map(self._segments.__getitem__, _SEGMENT.findall(text)))
-        if got and not got[-1][1]:
-            got.pop()
-        if not got:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        sizes, counts, blanks = zip(*got)
-        size = np.frombuffer(b"".join(sizes), np.int32)
-        gap = np.zeros(len(size) + 1, np.int64)
-        first = np.cumsum((0, *counts[:-1]))
-        if min(counts):
-            gap[first] = blanks
-        else:
-            # a segment without tokens (characters the normaliser drops) adds its blanks to the next token
-            np.add.at(gap, first, blanks)
-        ends = np.cumsum(size + gap[:-1])
-        return ends - size, ends
+        return self.places(Stretches([text]))[:2]
 
 
 _LOADED: dict[tuple[str, str], object] = {}
@@ -321,21 +517,26 @@ def load(name: str, folder: str = TOKENIZERS):
 
 
 def count_tokens(text: str, name: str, folder: str = TOKENIZERS) -> int:
-    encoder = load(name, folder)
-    return len(encoder.encode(text)) // 4 if isinstance(encoder, ByteEncoder) else encoder.count(text)
+    return load(name, folder).count(text)
+
+
+def batches_of(texts: list[str | None], most: int = _LOT) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive texts, null as empty, of about ``most`` characters together, each lot with the place of its first."""
+    start, size, lot = 0, 0, []
+    for i, text in enumerate(texts):
+        lot.append(text or "")
+        size += len(lot[-1])
+        if size >= most or i + 1 == len(texts):
+            yield start, lot
+            start, size, lot = i + 1, 0, []
 
 
 def id_lists(texts: pa.Array, name: str, folder: str = TOKENIZERS) -> Iterator[pa.ListArray]:
     """Lists of ids of the texts, some at a time; null and empty texts give empty lists."""
-    encoder, start, size, out = load(name, folder), 0, 0, []
-    for i, text in enumerate(texts):
-        text = text.as_py()
-        out.append(encoder.encode(text) if text else b"")
-        size += len(out[-1])
-        if size > 1 << 24 or i + 1 == len(texts):
-            offsets = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), np.int32)))
-            start, size, out = i + 1, 0, []
+    encoder = load(name, folder)
+    for _, lot in batches_of(texts.to_pylist()):
+        ids, counts = encoder.ids(lot)
+        yield pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
 
 
 def encode_corpus(df: DataFrame, key: str, column: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

@@ -5,6 +5,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 
 from tallyweave.llm import ledger, packing, splitting, tokens, topn
@@ -24,19 +25,73 @@ def test_encoding_equals_the_library():
         assert np.frombuffer(encoder.encode(text), np.int32).tolist() == encoder.core.encode_ordinary(text)
 
 
-def test_streaming_is_exact_in_any_blocks(monkeypatch):
-    monkeypatch.setattr(tokens, "_LONG", 150)
-    monkeypatch.setattr(tokens, "_BLOCK", 200)
+def test_streaming_is_exact_in_any_blocks():
     encoder, rng = tokens.ByteEncoder(tokens.TOKENIZERS, BYTE), random.Random(4)
     cases = [*_texts(), " " * 900 + "x", "\n" * 700, "A" * 2000 + "1", "=" * 1500, "-a" * 600, "日" * 900, "reinterpretation" * 90, "'ll" * 400]
     for text in cases:
-        stream, i, out = tokens.ByteStream(encoder), 0, []
-        while i < len(text):
-            step = rng.randrange(1, 400)
-            out.append(stream.push(text[i : i + step]))
-            i += step
-        out.append(stream.finish())
-        assert np.frombuffer(b"".join(out), np.int32).tolist() == encoder.core.encode_ordinary(text), ascii(text[:50])
+        for most in (3, 400, 3000):
+            out, i = [], 0
+            stream = tokens.ByteStream(encoder, out)
+            while i < len(text):
+                step = rng.randrange(1, most)
+                stream.push(text[i : i + step])
+                i += step
+            stream.finish()
+            assert encoder.resolved(out)[0].tolist() == encoder.core.encode_ordinary(text), ascii(text[:50])
+
+
+def test_streaming_keeps_little_and_emits_early():
+    """What waits is bounded, and ids come out before the text ends, in words, runs of one split and runs of many splits."""
+    encoder = tokens.load(BYTE)
+    for unit in ("word ", "MKTAYIAKQR", "a1-", "日本語、", "é"):
+        out, most = [], 0
+        stream = tokens.ByteStream(encoder, out)
+        text = unit * 12_000
+        for i in range(0, len(text), 1000):
+            stream.push(text[i : i + 1000])
+            most = max(most, len(stream.rest) + len(stream.open))
+        assert most < 8000 and len(encoder.resolved(out)[0]) > 0, (unit, most)
+        stream.finish()
+        assert encoder.resolved(out)[0].tolist() == encoder.core.encode_ordinary(text)
+
+
+def test_every_text_of_the_query_goes_through_the_transducer(monkeypatch):
+    pushed, finished = [], []
+    push, finish = tokens.ByteStream.push, tokens.ByteStream.finish
+    monkeypatch.setattr(tokens.ByteStream, "push", lambda self, block: (pushed.append(len(block)), push(self, block))[1])
+    monkeypatch.setattr(tokens.ByteStream, "finish", lambda self: (finished.append(1), finish(self))[1])
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).combine_chunks()
+    lists = [x for ids in tokens.id_lists(texts, BYTE) for x in ids.to_pylist()]
+    assert len(lists) == len(texts) == len(finished) and sum(pushed) == sum(len(t) for t in texts.to_pylist() if t)
+    core = tokens.load(BYTE).core
+    assert lists == [core.encode_ordinary(t or "") for t in texts.to_pylist()]
+
+
+def test_stretches_are_read_alike_alone_and_in_their_text():
+    rng, byte, word = random.Random(8), tokens.load(BYTE), tokens.load("word_bpe_49k")
+    bits = ["'s", "'S", "don't", "!'re", "''ll", "'é", " ", "  ", "\n", "\t ", "\xa0", "\u3000", "\x1c", "\x85", "12", "A1", "_", "é", "e\u0301", "h\u0331", "H\u0331", "İ", "日本", "🙂", "-", "'", "\u200b"]
+    texts = ["", *("".join(rng.choice(bits) for _ in range(rng.randrange(1, 60))) for _ in range(400)), *_texts()]
+    cut = tokens.Stretches(texts)
+    assert "".join(cut.keys[i] for i in cut.number) == "".join(texts)
+    ids, counts = byte.runs(cut)
+    assert ids.tolist() == [i for t in texts for i in byte.core.encode_ordinary(t)]
+    assert tokens.sums(counts, cut.per_text).tolist() == [len(byte.core.encode_ordinary(t)) for t in texts]
+    found = [word.model.encode(t, add_special_tokens=False) for t in texts]
+    starts, ends, count = word.places(cut)
+    assert count.tolist() == [len(f.ids) for f in found] and (starts <= ends).all() and (ends[:-1] <= starts[1:]).all()
+    at = np.cumsum([0, *map(len, texts)])
+    for i, f in enumerate(found):
+        for (a, b), s, e in zip(f.offsets, starts[count[:i].sum() :].tolist(), ends[count[:i].sum() :].tolist()):
+            assert s - at[i] <= a or s == e, (ascii(texts[i]), a, s - at[i])
+            assert e - at[i] >= b or s == e, (ascii(texts[i]), b, e - at[i])
+
+
+def test_tables_forget_and_stay_right(monkeypatch):
+    monkeypatch.setattr(tokens, "_REMEMBER", 50)
+    encoder = tokens.WordEncoder(tokens.TOKENIZERS, "word_bpe_49k")
+    for text in _texts():
+        assert encoder.count(text) == len(encoder.model.encode(text, add_special_tokens=False).ids)
+        assert encoder.table.size < 400
 
 
 def test_decoding_keeps_split_characters():
