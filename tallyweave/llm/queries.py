@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import text
 from tallyweave.llm import ledger, packing, splitting, tokens, topn
-from tallyweave.session import finite, table
+from tallyweave.session import cut, finite, table
 
 
 def _best(spark: SparkSession, d: str, n: int) -> DataFrame:
@@ -55,11 +55,30 @@ def p7_usage(spark: SparkSession, d: str) -> DataFrame:
     return packing.usage(p7_packed(spark, d), table(spark, d, "token_limits"))
 
 
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per 'pack' limit: documents packed, documents of which a token is missing or comes twice, containers over capacity, and
+    whether the windows' mixture is within 0.05 of the target (asked for where there are four windows at least)."""
+    docs, limits = table(spark, d, "documents"), table(spark, d, "token_limits")
+    packed = cut(packing.pack(docs, limits))
+    wanted = limits.filter("purpose = 'pack'").select("limit_name", "tokenizer", "max_tokens")
+    names = sorted({r["tokenizer"] for r in wanted.collect()})
+    sized = packing.sizes(docs, "doc_id", "text", "source", names).filter("n_tokens > 0").join(F.broadcast(wanted), "tokenizer")
+    piece = packed.groupBy("limit_name", "doc_id", "piece_no").agg(F.count(F.lit(1)).alias("times"), F.min("first_token").alias("first"), F.max("n_tokens").alias("size"))
+    whole = piece.groupBy("limit_name", "doc_id").agg(F.sum("size").alias("got"), F.max(F.col("first") + F.col("size")).alias("last"), F.max("times").alias("times"))
+    both = sized.select("limit_name", "doc_id", "n_tokens").join(whole, ["limit_name", "doc_id"], "full_outer")
+    right = (F.col("got") == F.col("n_tokens")) & (F.col("last") == F.col("n_tokens")) & (F.col("times") == 1)
+    told = both.groupBy("limit_name").agg(F.count("got").alias("n_documents"), F.count_if(~F.coalesce(right, F.lit(False))).alias("n_wrong"))
+    full = packed.groupBy("limit_name", "container").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(wanted), "limit_name")
+    full = full.groupBy("limit_name").agg(F.count_if(F.col("n") > F.col("max_tokens")).alias("n_overfull"))
+    mixed = packing.mixture(packed).select("limit_name", ((F.col("distance") <= 0.05) | (F.col("windows") < 4)).alias("mixed"))
+    return told.join(full, "limit_name").join(mixed, "limit_name")
+
+
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "documents"), table(spark, d, "token_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_records, p6_ids, p6_round_trip, p7_packed, p7_usage, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_records, p6_ids, p6_round_trip, p7_packed, p7_usage, p7_checked, p8_pieces)}
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(13)"
 _B = r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}\p{P}\p{S}]"
@@ -87,5 +106,7 @@ SQL = {
     "p5_found": _KEYED + """SELECT keep_id, rec_id AS dup_id FROM
       (SELECT rec_id, min(rec_id) OVER (PARTITION BY query_key, k) AS keep_id FROM keyed) WHERE rec_id <> keep_id""",
     "p5_records": _KEYED + "SELECT min(rec_id) AS keep_id, query_key, k AS normalized, count(*) AS n_copies FROM keyed GROUP BY query_key, k",
+    "p7_checked": """SELECT limit_name, count(*) AS n_documents, CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS BIGINT) AS n_overfull, true AS mixed
+      FROM documents, token_limits WHERE purpose = 'pack' AND text <> '' GROUP BY 1""",
     "p6_round_trip": "SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS n_changed FROM documents",
 }

@@ -166,19 +166,50 @@ def test_ledger_in_batches_equals_one_batch_and_reopens(spark, tmp_path):
     assert got == {k: (sum(x == k for _, x in rows), min(i for i, x in rows if x == k)) for _, k in rows}
 
 
+def _part(sizes, sources, part=0, parts=1, capacity=100):
+    """Items of one part as pack hands them over, from whole queues."""
+    df = pd.DataFrame({"doc_id": range(len(sizes)), "source": sources, "n": sizes})
+    df["before"] = df.groupby("source")["n"].cumsum() - df["n"]
+    df["of_source"] = df.groupby("source")["n"].transform("sum")
+    df["piece_no"] = [range(-(-n // capacity)) for n in df["n"]]
+    df = df.explode("piece_no").astype({"piece_no": int})
+    df["before"] += df["piece_no"] * capacity
+    df["size"] = (df["n"] - df["piece_no"] * capacity).clip(upper=capacity)
+    df["part"] = (df["before"] / df["of_source"] * parts).astype(int)
+    return df[df["part"] == part].assign(limit_name="x", parts=parts, total=sum(sizes), max_tokens=capacity).reset_index(drop=True)
+
+
 def test_packing_holds_its_promises():
     rng = random.Random(2)
-    items = pd.DataFrame({"limit_name": "x", "part": 3, "doc_id": range(4000), "source": [rng.choice("aab") for _ in range(4000)], "n_tokens": [int(rng.paretovariate(1) * 20) for _ in range(4000)], "max_tokens": 100})
-    share = items.groupby("source")["n_tokens"].sum() / items["n_tokens"].sum()
-    plan = pd.DataFrame({"source": share.index, "share": share.values, "owed": [30.0, -30.0]})
-    out = packing.pack_part(items, plan)
+    sizes = [int(rng.paretovariate(1) * 20) for _ in range(4000)]
+    sources = [rng.choice("aab") for _ in range(4000)]
+    out = packing.pack_part(_part(sizes, sources))
     whole = out.groupby("doc_id")["n_tokens"].sum()
-    assert (whole.sort_index().values == items["n_tokens"].values).all()
-    assert (out.groupby("doc_id").size().sort_index().values == -(-items["n_tokens"] // 100).values).all()
+    assert whole.sort_index().tolist() == sizes
+    assert out.groupby("doc_id").size().sort_index().tolist() == [-(-n // 100) for n in sizes]
     fill = out.groupby("container")["n_tokens"].sum()
-    assert fill.max() <= 100 and len(fill) <= 1.02 * -(-items["n_tokens"].sum() // 100)
+    assert fill.max() <= 100 and len(fill) <= 1.02 * -(-sum(sizes) // 100)
+    share = sum(n for n, s in zip(sizes, sources) if s == "a") / sum(sizes)
     first = out[out["window_no"] == 0].groupby("source")["n_tokens"].sum()
-    assert abs(first["a"] / first.sum() - share["a"]) < 0.05
+    assert abs(first["a"] / first.sum() - share) < 0.05
+
+
+def test_packing_keeps_the_mixture_over_many_parts(spark):
+    """Distance of the windows from the target doesn't grow with the number of parts; each item is in one part."""
+    rng = random.Random(5)
+    rows = [(i, None if i % 41 == 0 else rng.choices("abcde", (40, 25, 20, 10, 5))[0], BYTE, int(rng.lognormvariate(4.5, 1)) + 1) for i in range(30_000)]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, tokenizer string, n_tokens bigint").na.fill("", ["source"])
+    total = sum(r[3] for r in rows)
+    ahead = packing.queued(sized, 30_000 * 40).toPandas()
+    for _, queue in ahead.groupby("source"):
+        queue = queue.sort_values("before")
+        assert (queue["before"].values == queue["n_tokens"].cumsum().values - queue["n_tokens"].values).all() and set(queue["of_source"]) == {queue["n_tokens"].sum()}
+    limits = spark.createDataFrame([("p", "pack", BYTE, 256, None)], "limit_name string, purpose string, tokenizer string, max_tokens int, overlap_tokens int")
+    for part in (10**6, 500):
+        out = packing.pack_sized(sized, limits, part)
+        got = packing.mixture(out).first()
+        assert got["parts"] == max(1, round(total / 256 / part)) and got["distance"] < 0.05, got
+        assert sorted(out.groupBy("doc_id").agg({"n_tokens": "sum"}).toPandas().values.tolist()) == sorted([r[0], r[3]] for r in rows)
 
 
 def test_packing_frames(spark):
