@@ -1,18 +1,26 @@
 """Duplicates hidden by formatting: an incremental ledger of canonical keys.
 
-The ledger keeps one row for each canonical key - how many records had it and the earliest of them - in hash buckets.
-A new batch is aggregated by key (map-side first, so a key that holds a third of the batch stays cheap), full-outer-joined
-with the ledger's rows in the batch's buckets only, counts are added and the earliest representative is kept. Changed
-buckets are written as a new version; a version counts once it stands in the manifest, so a job that dies half-way leaves
-the ledger as it was.
+The ledger keeps one row for each canonical key - how many records had it and the smallest id among them - in hash buckets.
+A new batch is aggregated by key (map-side first, so a key that holds a third of the batch stays cheap), brought into the
+ledger's buckets and full-outer-joined with them bucket by bucket: the ledger itself is never shuffled. Counts are added, the
+earliest representative is kept, and the result is written as a new version. How many buckets there are follows the
+number of keys.
+
+A version counts once the manifest names it, beside the batch that made it. A job that dies before leaves a folder that
+nothing reads and the next batch removes; a batch that comes again adds nothing. One writer at a time.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.session import cut, scratch_path
+from tallyweave.session import remove, scratch_path
+
+#: Keys in a bucket before there are twice as many buckets; keys that join by broadcast at most, and records such a key has at least.
+BUCKET_ROWS, HOT_MOST, HOT_LEAST = 2_000_000, 20_000, 20_000
 
 _BLANK = r"[\p{IsWhite_Space}\p{P}\p{S}]"
 _NAMED = rf"(?:P\.{_BLANK}*)?([A-Z]{_BLANK}*[0-9]+{_BLANK}*[A-Z])"
@@ -39,48 +47,78 @@ def canonical(column: Column) -> Column:
 class Ledger:
     """Counts and earliest representatives by key in a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 32):
-        self.spark, self.root, self.keys, self.buckets, self.version = spark, root, keys, buckets, 0
-        self.at: dict[int, int] = {}
-
-    @staticmethod
-    def open(spark: SparkSession, root: str, keys: list[str], buckets: int = 32) -> Ledger:
-        """A ledger as its manifest describes it; a manifest has at most one row for each bucket and version."""
-        book = Ledger(spark, root, keys, buckets)
-        for r in spark.read.parquet(f"{root}/manifest").groupBy("bucket").agg(F.max("version").alias("version")).collect():
-            book.at[r["bucket"]] = r["version"]
-            book.version = max(book.version, r["version"])
-        return book
-
-    def rows(self, buckets: list[int] | None = None) -> DataFrame | None:
-        """Rows of the given buckets, of all by default; None while there are none."""
-        paths = [f"{self.root}/v{v}/bucket={b}" for b, v in sorted(self.at.items()) if buckets is None or b in buckets]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def add(self, records: DataFrame, rec_id: str, shown: str) -> None:
-        """Count a batch in. Records with a null key don't count."""
+    def __init__(self, spark: SparkSession, root: str, keys: list[str]):
+        """The ledger kept at ``root``, as its manifest describes it; a new one where there is none."""
+        self.spark, self.root, self.keys = spark, root.rstrip("/"), keys
+        self.batches: set[str] = set()
+        self.versions: list[tuple[str, int, int]] = []
+        if self._names("manifest"):
+            # one row a batch
+            for r in spark.read.schema(_MANIFEST).json(f"{self.root}/manifest").orderBy("number").collect():
+                self.batches.add(r["batch"])
+                self.versions.append((r["version"], r["buckets"], r["keys"]))
+
+    def _names(self, folder: str = "") -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}".rstrip("/"))
+        files = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
+
+    def rows(self) -> DataFrame | None:
+        """(keys, n, first) of all keys, in their buckets; None while there are none."""
+        if not self.versions:
+            return None
+        version, buckets, _ = self.versions[-1]
+        name = f"ledger_{version}"
+        if not self.spark.catalog.tableExists(name):
+            keys = ", ".join(f"`{k}`" for k in self.keys)
+            columns = ", ".join([*(f"`{k}` STRING" for k in self.keys), "n BIGINT", "first BIGINT"])
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{self.root}/{version}'")
+        return self.spark.table(name)
+
+    def add(self, records: DataFrame, rec_id: str, batch: str) -> bool:
+        """Count a batch in, once: a batch whose name the manifest holds adds nothing. Records with a null key don't count.
+
+        Returns whether the batch was new. Keys are texts.
+        """
+        if batch in self.batches:
+            return False
         known = records.dropna(subset=self.keys)
-        batch = known.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(rec_id).alias("id"), F.col(shown).alias("text"))).alias("first"))
-        batch = cut(batch.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")))
-        touched = sorted(r["bucket"] for r in batch.select("bucket").distinct().collect())
-        if not touched:
-            return
-        old = self.rows(touched)
-        if old is None:
-            merged = batch
-        else:
-            a, b = old.withColumnsRenamed({"n": "n_a", "first": "first_a"}), batch.withColumnsRenamed({"n": "n_b", "first": "first_b"}).drop("bucket")
-            merged = a.join(b, self.keys, "full_outer").select(
-                *self.keys,
-                (F.coalesce("n_a", F.lit(0)) + F.coalesce("n_b", F.lit(0))).alias("n"),
-                F.least("first_a", "first_b").alias("first"),
-                F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket"),
+        news = known.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n"), F.min(rec_id).cast("bigint").alias("first"))
+        old, version = self.rows(), f"v{uuid.uuid4().hex}"
+        least = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        _, buckets, held = self.versions[-1] if self.versions else ("", least, 0)
+        wide = buckets
+        while held > wide * BUCKET_ROWS:
+            wide *= 2
+        merged = news if buckets == least else news.repartition(buckets, *self.keys)
+        if old is not None:
+            a, b = old.withColumnsRenamed({"n": "n_a", "first": "first_a"}), merged.withColumnsRenamed({"n": "n_b", "first": "first_b"})
+            merged = a.join(b.hint("merge"), self.keys, "full_outer").select(
+                *self.keys, (F.coalesce("n_a", F.lit(0)) + F.coalesce("n_b", F.lit(0))).alias("n"), F.least("first_a", "first_b").alias("first")
             )
-        self.version += 1
-        merged.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(f"{self.root}/v{self.version}")
-        news = self.spark.createDataFrame([(b, self.version) for b in touched], "bucket int, version int")
-        news.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
-        self.at |= dict.fromkeys(touched, self.version)
+        if wide != buckets or old is None:
+            merged = merged.repartition(wide, *self.keys)
+        path = f"{self.root}/{version}"
+        merged.write.format("parquet").bucketBy(wide, *self.keys).sortBy(*self.keys).option("path", path).saveAsTable(f"ledger_{version}")
+        count = self.spark.table(f"ledger_{version}").count()
+        row = (len(self.versions) + 1, batch, version, wide, count)
+        self.spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").json(f"{self.root}/manifest")
+        self.versions.append((version, wide, count))
+        self.batches.add(batch)
+        self._tidy()
+        return True
+
+    def _tidy(self) -> None:
+        """Remove all versions but the last two: the one before may still be read."""
+        kept = {v for v, _, _ in self.versions[-2:]}
+        for name in self._names():
+            if name.startswith("v") and name not in kept:
+                self.spark.sql(f"DROP TABLE IF EXISTS ledger_{name}")
+                remove(self.spark, f"{self.root}/{name}")
+
+
+_MANIFEST = "number int, batch string, version string, buckets int, keys bigint"
 
 
 def keyed(records: DataFrame) -> DataFrame:
@@ -88,44 +126,47 @@ def keyed(records: DataFrame) -> DataFrame:
     return records.withColumn("query_key", squeezed(F.col("query_id"))).withColumn("variant_key", canonical(F.col("original")))
 
 
-def build(records: DataFrame, batches: int = 3) -> Ledger:
-    """A ledger of variant records, fed in batches by time of receipt; records without a time come last."""
+_KEYS = ["query_key", "variant_key"]
+
+
+def build(records: DataFrame, root: str | None = None, batches: int = 3) -> tuple[Ledger, DataFrame]:
+    """A ledger of variant records, fed in batches by time of receipt, and the records (rec_id, keys) it was fed with.
+
+    Keys are worked out once and written by batch; records without a time come last. A ``root`` that holds these batches
+    already is read, not fed again.
+    """
     spark = records.sparkSession
-    book = Ledger(spark, scratch_path(spark, "ledger"), ["query_key", "variant_key"])
     seconds = F.col("received_at").cast("double")
     span = records.agg(F.min(seconds).alias("a"), F.max(seconds).alias("b")).first()
     low, width = (span["a"] or 0.0), max(((span["b"] or 0.0) - (span["a"] or 0.0)) / batches, 1.0)
-    no = F.coalesce(F.least(F.floor((seconds - low) / width), F.lit(batches - 1)), F.lit(batches - 1))
-    slim = keyed(records.select("rec_id", "query_id", "original", "received_at"))
+    no = F.coalesce(F.least(F.floor((seconds - low) / width), F.lit(batches - 1)), F.lit(batches - 1)).cast("int")
+    slim = keyed(records.select("rec_id", "query_id", "original", "received_at")).dropna(subset=_KEYS).select("rec_id", *_KEYS, no.alias("batch"))
+    path = scratch_path(spark, "keyed")
+    slim.write.partitionBy("batch").parquet(path)
+    told = spark.read.schema("rec_id bigint, query_key string, variant_key string, batch int").parquet(path)
+    book = Ledger(spark, root or scratch_path(spark, "ledger"), _KEYS)
     for i in range(batches):
-        book.add(slim.filter(no == i), "rec_id", "original")
-    return book
+        book.add(told.filter(F.col("batch") == i), "rec_id", f"{low}-{width}-{i}")
+    return book, told
 
 
 def collapsed(records: DataFrame) -> DataFrame:
-    """One row for each set of copies and each single record: keep_id, the keys, how many copies, the first writing."""
-    rows = build(records).rows()
-    if rows is None:
-        return records.sparkSession.createDataFrame([], "keep_id bigint, query_key string, normalized string, n_copies bigint, first_original string")
-    return rows.select(
-        F.col("first.id").alias("keep_id"), "query_key", F.col("variant_key").alias("normalized"), F.col("n").alias("n_copies"), F.col("first.text").alias("first_original")
-    )
+    """One row for each set of copies and each single record: keep_id, the keys, how many copies."""
+    rows = build(records)[0].rows()
+    return rows.select(F.col("first").alias("keep_id"), "query_key", F.col("variant_key").alias("normalized"), F.col("n").alias("n_copies"))
 
 
 def copies(records: DataFrame) -> DataFrame:
     """(keep_id, dup_id): every record but the first of each set of copies, beside the first.
 
-    Keys with at least a 200th of all records (at most 200 keys) are joined by broadcast, so a set that holds a third of the
-    table never meets in one task; all others by an ordinary join.
+    Keys with at least HOT_LEAST records and a HOT_MOST-th of all, so HOT_MOST keys at most, are joined by broadcast: a set that
+    holds a third of the table never meets in one task. All others meet in the ledger's buckets, whose rows stay where they are.
     """
-    rows = build(records).rows()
-    if rows is None:
-        return records.sparkSession.createDataFrame([], "keep_id bigint, dup_id bigint")
-    twice = rows.filter(F.col("n") > 1).select("query_key", "variant_key", F.col("first.id").alias("keep_id"), "n")
-    least = max(1000, records.count() // 200 + 1)
-    slim = keyed(records.select("rec_id", "query_id", "original")).dropna(subset=["query_key", "variant_key"]).select("rec_id", "query_key", "variant_key")
-    keys = ["query_key", "variant_key"]
-    hot = twice.filter(F.col("n") >= least)
+    book, told = build(records)
+    twice = book.rows().filter(F.col("n") > 1).withColumnRenamed("first", "keep_id")
+    hot_from = max(HOT_LEAST, told.count() // HOT_MOST + 1)
+    hot = twice.filter(F.col("n") >= hot_from).drop("n")
+    slim = told.drop("batch")
     out = lambda df: df.filter(F.col("rec_id") != F.col("keep_id")).select("keep_id", F.col("rec_id").alias("dup_id"))
-    rest = slim.join(F.broadcast(hot), keys, "left_anti").join(twice.filter(F.col("n") < least), keys)
-    return out(slim.join(F.broadcast(hot), keys)).unionByName(out(rest))
+    rest = slim.join(F.broadcast(hot), _KEYS, "left_anti").join(twice.filter(F.col("n") < hot_from).drop("n"), _KEYS)
+    return out(slim.join(F.broadcast(hot), _KEYS)).unionByName(out(rest))

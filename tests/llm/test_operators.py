@@ -154,16 +154,63 @@ def test_copies(spark):
     assert ledger.copies(df.limit(0)).count() == 0 and ledger.collapsed(df.limit(0)).count() == 0
 
 
-def test_ledger_in_batches_equals_one_batch_and_reopens(spark, tmp_path):
-    rows = [(i, f"k{i * i % 17}") for i in range(300)]
+def _book(spark, root, rows, batches):
     df = spark.createDataFrame(rows, "id bigint, k string")
+    for name, test in batches:
+        ledger.Ledger(spark, root, ["k"]).add(df.filter(test), "id", name)
+    return {r["k"]: (r["n"], r["first"]) for r in ledger.Ledger(spark, root, ["k"]).rows().collect()}
+
+
+def test_ledger_in_batches_equals_one_batch_and_reopens(spark, tmp_path, monkeypatch):
+    rows = [(i, f"k{i * i % 17}") for i in range(300)]
+    want = {k: (sum(x == k for _, x in rows), min(i for i, x in rows if x == k)) for _, k in rows}
+    parts = [("c", "id >= 200"), ("a", "id < 100"), ("b", "id BETWEEN 100 AND 199"), ("none", "false")]
+    assert _book(spark, f"file://{tmp_path}/one", rows, [("all", "true")]) == want
+    assert _book(spark, f"file://{tmp_path}/book", rows, parts) == want
+    # batches that come again add nothing
+    assert _book(spark, f"file://{tmp_path}/book", rows, parts) == want
+    # more keys than buckets take: there are more buckets, and nothing is lost
+    monkeypatch.setattr(ledger, "BUCKET_ROWS", 2)
+    book = ledger.Ledger(spark, f"file://{tmp_path}/book", ["k"])
+    assert book.add(spark.createDataFrame([(500, "new")], "id bigint, k string"), "id", "d") and book.versions[-1][1] > 4
+    assert {r["k"]: (r["n"], r["first"]) for r in book.rows().collect()} == want | {"new": (1, 500)}
+    # two versions are kept
+    assert sum(p.name.startswith("v") for p in (tmp_path / "book").iterdir()) == 2
+
+
+def test_ledger_survives_a_killed_batch(spark, tmp_path, monkeypatch):
+    """A batch that dies after its version is written, but before the manifest, counts once when it comes again."""
+    rows = [(i, f"k{i % 5}") for i in range(100)]
+    root = f"file://{tmp_path}/book"
+    _book(spark, root, rows, [("a", "id < 50")])
+
+    class Killed(Exception):
+        pass
+
+    def die(*_):
+        raise Killed
+
+    book = ledger.Ledger(spark, root, ["k"])
+    df = spark.createDataFrame(rows, "id bigint, k string").filter("id >= 50")
+    monkeypatch.setattr(type(spark), "createDataFrame", die)
+    with pytest.raises(Killed):
+        book.add(df, "id", "b")
+    monkeypatch.undo()
+    again = ledger.Ledger(spark, root, ["k"])
+    assert again.batches == {"a"} and {r["n"] for r in again.rows().collect()} == {10}
+    assert _book(spark, root, rows, [("b", "id >= 50"), ("b", "id >= 50")]) == {f"k{i}": (20, i) for i in range(5)}
+    assert sum(p.name.startswith("v") for p in (tmp_path / "book").iterdir()) == 2
+
+
+def test_ledger_is_joined_where_it_lies(spark, tmp_path):
+    """The full outer join has one exchange: the batch's aggregation."""
     root = f"file://{tmp_path}/book"
-    book = ledger.Ledger(spark, root, ["k"], 4)
-    for part in (df.filter("id >= 200"), df.filter("id < 100"), df.filter("id BETWEEN 100 AND 199"), df.limit(0)):
-        book.add(part.selectExpr("id", "k", "k AS shown"), "id", "shown")
-        book = ledger.Ledger.open(spark, root, ["k"], 4)
-    got = {r["k"]: (r["n"], r["first"]["id"]) for r in book.rows().collect()}
-    assert got == {k: (sum(x == k for _, x in rows), min(i for i, x in rows if x == k)) for _, k in rows}
+    rows = [(i, f"k{i % 50}") for i in range(500)]
+    _book(spark, root, rows, [("a", "id < 250")])
+    book = ledger.Ledger(spark, root, ["k"])
+    news = spark.createDataFrame(rows, "id bigint, k string").groupBy("k").count()
+    plan = book.rows().join(news.hint("merge"), "k", "full_outer")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
 
 
 def _part(sizes, sources, part=0, parts=1, capacity=100):
