@@ -16,15 +16,15 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.session import finite
+from tallyweave.session import cut, finite
 
 _FINE = 4
 
 
 def key_loads(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(field, key_val, n): rows of each non-null, non-empty value of each key column. Counted map-side first."""
+    """(field, key_val, n): rows of each value of each key column, null and empty ones included. Counted map-side first."""
     pairs = F.inline(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).cast("string").alias("key_val")) for k in keys]))
-    return df.select(pairs).filter(F.col("key_val") != "").groupBy("field", "key_val").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(pairs).groupBy("field", "key_val").agg(F.count(F.lit(1)).alias("n"))
 
 
 def plan_shards(loads: list[tuple[str, str, int]], rows: int, tasks: int) -> list[tuple[str, str, int, int, int]]:
@@ -48,13 +48,18 @@ def plan_shards(loads: list[tuple[str, str, int]], rows: int, tasks: int) -> lis
 
 
 def heavy_plan(loads: DataFrame, tasks: int) -> DataFrame:
-    """The plan of all keys that hold at least ``1 / (4 * tasks)`` of their field's rows: 4 * tasks keys a field at most."""
+    """The plan of all keys that hold at least ``1 / (4 * tasks)`` of their field's rows: 4 * tasks keys a field at most.
+
+    ``loads`` is read several times: it is to be a written table.
+    """
     spark = loads.sparkSession
-    rows = {r["field"]: int(r["rows"]) for r in loads.groupBy("field").agg(F.sum("n").alias("rows")).collect()}
+    known = loads.filter(F.col("key_val") != "")
+    totals = known.groupBy("field").agg(F.sum("n").alias("rows"))
+    heavy = known.join(F.broadcast(totals), "field").filter(F.col("n") * (_FINE * tasks) >= F.col("rows")).collect()
     plan: list[tuple] = []
-    for field, total in sorted(rows.items()):
-        heavy = loads.filter((F.col("field") == field) & (F.col("n") * (_FINE * tasks) >= total)).collect()
-        plan += plan_shards(sorted((r["field"], r["key_val"], r["n"]) for r in heavy), total, tasks)
+    for field in sorted({r["field"] for r in heavy}):
+        own = [r for r in heavy if r["field"] == field]
+        plan += plan_shards(sorted((r["field"], r["key_val"], r["n"]) for r in own), own[0]["rows"], tasks)
     return spark.createDataFrame(plan, "field string, key_val string, shards int, shard int, task int")
 
 
@@ -85,8 +90,7 @@ def balanced_results(
     """
     spark = df.sparkSession
     tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    loads = key_loads(df, keys) if loads is None else loads
-    plan = heavy_plan(loads, tasks)
+    plan = heavy_plan(cut(key_loads(df, keys)) if loads is None else loads, tasks)
     value = F.when(finite(F.col(measure)), F.col(measure))
     sample = F.nullif(F.col(distinct).cast("string"), F.lit(""))
     pairs = F.inline(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).cast("string").alias("key_val")) for k in keys]))
@@ -115,7 +119,7 @@ def replicated_join(df: DataFrame, side: DataFrame, key: str, spread: str, tasks
     ``df`` are left out. A row with a null key keeps nulls for the side's columns.
     """
     tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plan = heavy_plan(key_loads(df, [key]), tasks).select("key_val", "shards", "shard")
+    plan = heavy_plan(cut(key_loads(df, [key])), tasks).select("key_val", "shards", "shard")
     shards = plan.groupBy("key_val").agg(F.max("shards").alias("_n"))
     left = df.withColumn("_k", F.col(key).cast("string")).join(
         F.broadcast(shards.withColumnRenamed("key_val", "_k")), "_k", "left"
@@ -133,5 +137,10 @@ def frequent_keys(results: DataFrame, rows: int, least: float) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, keys: list[str], distinct: str, measure: str, row_id: str, least: float) -> DataFrame:
-    """Values of the key columns that hold at least ``least`` of all rows, read off the balanced results."""
-    return frequent_keys(balanced_results(df, keys, distinct, measure, row_id), df.count(), least)
+    """Values of the key columns that hold at least ``least`` of all rows, read off the balanced results.
+
+    Loads are counted once, for the plan and, as rows without a key are in them, for the number of all rows.
+    """
+    loads = cut(key_loads(df, keys))
+    rows = loads.filter(F.col("field") == keys[0]).agg(F.sum("n")).first()[0] or 0
+    return frequent_keys(balanced_results(df, keys, distinct, measure, row_id, loads=loads), rows, least)
