@@ -76,10 +76,11 @@ def _stretches(at: np.ndarray, code: np.ndarray, row: np.ndarray) -> tuple[np.nd
 def split_packed(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Parent row, place of the mutant, place in the mutant and the substitution in upper case, in the order written."""
     values = values.cast(pa.large_string()).fill_null("")
-    values = pa.concat_arrays([values]) if values.offset == 0 else pa.array(values.to_pylist(), pa.large_string())
-    offsets = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1)
-    base, stop = int(offsets[0]), int(offsets[-1])
     none = np.zeros(0, np.int64)
+    if not len(values):
+        return none, none, none, pa.array([], pa.string())
+    offsets = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, 8 * values.offset)
+    base, stop = int(offsets[0]), int(offsets[-1])
     if base == stop:
         return none, none, none, pa.array([], pa.string())
     data = np.frombuffer(values.buffers()[2], np.uint8, stop)[base:]

@@ -113,3 +113,29 @@ def test_replicated_join_is_a_left_join(spark):
     got = sorted((tuple(r) for r in balance.replicated_join(left, side, "key", "row_id", tasks=5).collect()), key=str)
     want = sorted((tuple(r) for r in left.join(side.drop("name"), "key", "left").select("row_id", "key", "name", "value").collect()), key=str)
     assert got == want
+
+
+def test_replicated_join_with_a_side_that_is_not_small(spark):
+    """Neither side is broadcast, and no shard of the hot key holds much more than a task's share."""
+    rows = [(i, "hot" if i % 3 else f"k{i % 50}", i) for i in range(3000)]
+    left = spark.createDataFrame(rows, "row_id bigint, key string, clash int")
+    side = spark.createDataFrame([("hot", 1, 0), *((f"k{i}", i, 0) for i in range(0, 50, 2))], "key string, value int, clash int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = balance.replicated_join(left, side, "key", "row_id", tasks=6)
+        assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["row_id"], r["key"], r["value"], r["clash"]) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    known = {"hot": 1} | {f"k{i}": i for i in range(0, 50, 2)}
+    assert got == [(i, k, known.get(k), c) for i, k, c in rows]
+
+
+def test_packed_slices_are_read_in_place():
+    import pyarrow as pa
+
+    values = pa.array(["A1B", None, "C2D+E3F; G4H", "", "I5K"])
+    whole, part = packed.split_packed(values), packed.split_packed(values.slice(2, 2))
+    assert part[3].to_pylist() == ["C2D", "E3F", "G4H"] and part[0].tolist() == [0, 0, 0] and whole[3].to_pylist() == ["A1B", "C2D", "E3F", "G4H", "I5K"]
+    assert packed.split_packed(values.slice(1, 0))[3].to_pylist() == []
