@@ -74,13 +74,16 @@ def samples(rows: DataFrame, dataset: str, role: str = EVALUATION) -> DataFrame:
     )
 
 
-def substitutions(sampled: DataFrame) -> DataFrame:
-    """One row a component with its chain: the interval that holds the position is looked up in the boundaries' array."""
+def substitutions(sampled: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One row a component with its chain: the interval that holds the position is looked up in the boundaries' array.
+
+    ``keep`` names columns of the sample that its components carry along.
+    """
     bounds = mutation.chain_bounds(F.col("wildtype_sequence"))
-    rows = sampled.select("sample_id", bounds.alias("bounds"), F.posexplode("components").alias("i", "c"))
+    rows = sampled.select("sample_id", *(keep or []), bounds.alias("bounds"), F.posexplode("components").alias("i", "c"))
     home = F.filter("bounds", lambda b: (b["start"] <= F.col("c.pos")) & (F.col("c.pos") <= b["end"]))[0]
     return rows.withColumn("home", home).select(
-        "sample_id", (F.col("i") + 1).alias("component_index"), F.col("home.chain_id").alias("chain_id"),
+        "sample_id", *(keep or []), (F.col("i") + 1).alias("component_index"), F.col("home.chain_id").alias("chain_id"),
         (F.col("c.pos") - F.col("home.start") + 1).alias("chain_position"), F.col("c.pos").alias("global_position"),
         F.col("c.wt").alias("wt_aa"), F.col("c.alt").alias("mut_aa"),
     )

@@ -7,6 +7,8 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.operators import canonical
+
 
 def chains(proteins: DataFrame) -> DataFrame:
     """(sequence_sha256, chain_id, chain, context_sha256): each chain of each protein."""
@@ -14,10 +16,16 @@ def chains(proteins: DataFrame) -> DataFrame:
     return rows.select("sequence_sha256", (F.col("i") + 1).alias("chain_id"), "chain", F.sha2("chain", 256).alias("context_sha256"))
 
 
-def components(samples: DataFrame, substitutions: DataFrame, proteins: DataFrame) -> DataFrame:
-    """Substitutions with their chain's context. Chains number as many as the fixed assay list has and are broadcast."""
-    subs = substitutions.join(samples.select("sample_id", "task", "query_id", "source_assay", "sequence_sha256"), "sample_id")
-    return subs.join(F.broadcast(chains(proteins)), ["sequence_sha256", "chain_id"])
+def components(sampled: DataFrame, proteins: DataFrame) -> DataFrame:
+    """Components of samples with their chain's context; none is lost: one whose chain isn't there raises when it is read.
+
+    A sample's columns come along from its own row, without a join. Chains number as many as the fixed assay list has and
+    are broadcast.
+    """
+    subs = canonical.substitutions(sampled, ["task", "query_id", "source_assay", "sequence_sha256"])
+    met = subs.join(F.broadcast(chains(proteins)), ["sequence_sha256", "chain_id"], "left")
+    lost = F.raise_error(F.concat(F.lit("no chain for a component of "), F.col("sample_id"))).cast("string")
+    return met.withColumn("context_sha256", F.coalesce("context_sha256", lost))
 
 
 def statistics(comps: DataFrame) -> DataFrame:

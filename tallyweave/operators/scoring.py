@@ -13,14 +13,18 @@ from tallyweave.functions import mutation
 from tallyweave.session import finite
 
 
-def looked_up(comps: DataFrame, matrix: DataFrame, slots: dict[str, int]) -> DataFrame:
+def looked_up(comps: DataFrame, matrix: DataFrame, slots: dict[str, int], keys: list[str] | None = None, missing: str = "null", small: int = 50_000) -> DataFrame:
     """Components with the values of their wild-type and mutant tokens.
 
-    ``matrix`` is (context_sha256, chain_position, values array); ``slots`` maps residues to places in the array, from 0.
-    A component without matrix row keeps nulls.
+    ``matrix`` is (keys, values array), keys being context_sha256 and chain_position unless others are given, each once; ``slots``
+    maps residues to places in the array, from 0. A component without matrix row keeps nulls, or with ``missing`` "raise"
+    fails the run when it is read. A matrix of at most ``small`` rows is broadcast; a larger one meets in a shuffle.
     """
     place = F.create_map(*[x for a, i in sorted(slots.items()) for x in (F.lit(a), F.lit(i))])
-    rows = comps.join(matrix, ["context_sha256", "chain_position"], "left")
+    keys = keys or ["context_sha256", "chain_position"]
+    rows = comps.join(F.broadcast(matrix) if matrix.count() <= small else matrix, keys, "left")
+    if missing == "raise":
+        rows = rows.withColumn("values", F.coalesce("values", F.raise_error(F.concat_ws(" ", F.lit("no matrix row for"), *keys)).cast("array<double>")))
     at = lambda c: F.get(F.col("values"), F.try_element_at(place, F.col(c))).cast("double")
     return rows.withColumn("wt_value", at("wt_aa")).withColumn("mut_value", at("mut_aa")).drop("values")
 

@@ -55,7 +55,7 @@ SQL = {
        FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id)) WHERE rank <= 3""",
     "g_voxels": _P + f""" SELECT grp, CAST(floor(x / 0.1) AS BIGINT) AS cx, CAST(floor(y / 0.1) AS BIGINT) AS cy, CAST(floor(z / 0.1) AS BIGINT) AS cz, count(*) AS n, {', '.join(f"{sql_r6(f'avg({a})')} AS mean_{a}" for a in 'xyz')}
       FROM p GROUP BY 1, 2, 3, 4""",
-    "g_scattered": _P + f""", s AS (SELECT DISTINCT id % 37 AS slot FROM p), v AS (SELECT id % 37 AS slot, x FROM p WHERE id % 37 < 30)
+    "g_scattered": _P + f""", s AS (SELECT unnest(range(40)) AS slot), v AS (SELECT id % 37 AS slot, x FROM p)
       SELECT s.slot, {sql_r6('coalesce(sum(x), 0.0)')} AS total, {sql_r6('coalesce(avg(x), 0.0)')} AS mean, {sql_r6('max(x)')} AS top FROM s LEFT JOIN v ON v.slot = s.slot GROUP BY 1""",
     "g_restricted": _NEAR + f", k AS (SELECT DISTINCT grp, id FROM near WHERE d < {_RADIUS}) SELECT grp, id, CAST(dense_rank() OVER (PARTITION BY grp ORDER BY id) - 1 AS INT) AS new_id FROM k",
 }

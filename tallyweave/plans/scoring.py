@@ -16,7 +16,7 @@ _WIDTH = 100
 
 def _components(spark: SparkSession, d: str) -> DataFrame:
     sampled = _samples(spark, d)
-    return contexts.components(sampled, canonical.substitutions(sampled), canonical.proteins(table(spark, d, "assays")))
+    return contexts.components(sampled, canonical.proteins(table(spark, d, "assays")))
 
 
 def x_components(spark: SparkSession, d: str) -> DataFrame:
@@ -63,14 +63,12 @@ def x_costs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
-    """A table of log probabilities for each context position: the embedding of that number, cut to 20 values."""
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("chain_position"), arrays.log_softmax(F.slice("embedding", 1, 20)).alias("values"))
+    """A table of log probabilities for each position: those of the embedding of that number, the residues' in front."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("chain_position"), arrays.log_softmax(F.col("embedding")).alias("values"))
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
-    comps = _components(spark, d)
-    every = comps.select("context_sha256", "chain_position").distinct().join(_matrix(spark, d), "chain_position")
-    return scoring.looked_up(comps, every, {a: i for i, a in enumerate(mutation.RESIDUES)})
+    return scoring.looked_up(_components(spark, d), _matrix(spark, d), {a: i for i, a in enumerate(mutation.RESIDUES)}, ["chain_position"])
 
 
 def s_log_softmax(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +190,7 @@ SQL = {
       CAST(length AS BIGINT) * length AS by_surface FROM stats JOIN v USING (context_sha256)""",
     "s_log_softmax": f"""SELECT vec_id, CAST(unnest(range(0, len(embedding))) AS INT) AS token, {sql_r6('unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE) - lse))')} AS log_value, true AS ok
       FROM (SELECT vec_id, embedding, ln(list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE))))) AS lse FROM embeddings)""",
-    "s_lookup": _X + f""", m AS (SELECT vec_id, list_transform(e, lambda x: CAST(x AS DOUBLE) - ln(list_sum(list_transform(e, lambda y: exp(CAST(y AS DOUBLE)))))) AS v FROM (SELECT vec_id, embedding[1:20] AS e FROM embeddings WHERE vec_id < 500)),
+    "s_lookup": _X + f""", m AS (SELECT vec_id, list_transform(e, lambda x: CAST(x AS DOUBLE) - ln(list_sum(list_transform(e, lambda y: exp(CAST(y AS DOUBLE)))))) AS v FROM (SELECT vec_id, embedding AS e FROM embeddings)),
       f AS (SELECT sample_id, v[strpos('ACDEFGHIKLMNPQRSTVWY', mut_aa)] AS mv, v[strpos('ACDEFGHIKLMNPQRSTVWY', wt_aa)] AS wv FROM comps LEFT JOIN m ON vec_id = chain_position)
       SELECT sample_id, count(*) AS n_components, {sql_r6('CASE WHEN count(mv) = count(*) THEN sum(mv - wv) END')} AS masked_marginal, {sql_r6('CASE WHEN count(mv) = count(*) THEN sum(mv) END')} AS mutant_logp,
       {sql_r6('CASE WHEN count(mv) = count(*) THEN sum(wv) END')} AS wt_logp FROM f GROUP BY 1""",
