@@ -11,6 +11,11 @@ from tallyweave.plans.common import STRIP, r6, sql_r6
 from tallyweave.session import table
 
 _SHARDS = 32
+#: What a log may tell; the words are invented.
+_TOLD = [
+    "Authorization: Bearer abc.def-123", "API key = k12345 left", "using sk-proj-abcdefghijklmnop now", "token xai-AB.cd_ef-0123456789.", "access token:zzz bearer token = Bearer y1",
+    "OPENAI_API_KEY=abc", "authorization : none", "sk-short stays", "apikey:a api_key=b",
+]
 
 
 def f_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -84,8 +89,10 @@ def r_marks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r_redacted(spark: SparkSession, d: str) -> DataFrame:
-    """Logs with assay names of one family taken as secrets."""
+    """Logs, each with a line that tells credentials, with assay names of one family taken as secrets."""
     logs = table(spark, d, "documents").filter("source = 'agent_log'")
+    told = F.array(*[F.lit(x) for x in _TOLD])
+    logs = logs.select("doc_id", F.concat("text", F.lit("\n"), F.get(told, F.pmod("doc_id", F.lit(len(_TOLD))).cast("int"))).alias("text"))
     return logs.select("doc_id", F.md5(text.redact(F.col("text"), ["ALGAV_S25", "ALGAV_S2", "timeout"])).alias("digest"))
 
 
@@ -112,6 +119,7 @@ QUERIES = {
     for f in (f_rules, f_shards, f_summed, f_coverage, f_export, f_leaderboard, r_rankings, r_greedy, r_closed_set, r_generated, r_marks, r_redacted, r_prompts, r_written, r_safe_names)
 }
 
+_LOGS = f"SELECT doc_id, text || chr(10) || list_extract([{', '.join(repr(x) for x in _TOLD)}], CAST(((doc_id % {len(_TOLD)}) + {len(_TOLD)}) % {len(_TOLD)} AS INT) + 1) AS text FROM documents WHERE source = 'agent_log'"
 _OK = f"coalesce(lower(trim(status, {STRIP})) = 'ok', false)"
 _FIN = " AND ".join(f"coalesce(isfinite({c}), false)" for c in finalize.SCORES)
 _SUMMED = f"""
@@ -121,7 +129,7 @@ summed AS (SELECT model_id, sample_id, {', '.join(f'min({c}) AS {c}' for c in fi
   FROM good WHERE nth = 1 AND {_FIN} GROUP BY 1, 2)
 """
 _KNOWN = "model_id IS NOT NULL AND sample_id IS NOT NULL"
-_NAME_CLEAN = "regexp_replace(regexp_replace(regexp_replace(trim(source_csv), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+', ''), '[._]+$', '')"
+_NAME_CLEAN = "regexp_replace(regexp_replace(regexp_replace(source_csv, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+', ''), '[._]+$', '')"
 
 SQL = {
     "f_rules": f"""SELECT * FROM (SELECT 'status_ok' AS rule, count(*) AS n_broken FROM shard_rows WHERE NOT {_OK}
@@ -140,10 +148,11 @@ SQL = {
       SELECT model_id, task, metric, {sql_r6('value')} AS value FROM (SELECT model_id, task, unnest(['n_samples', 'mean_marginal', 'most_chains']) AS metric, unnest([n_samples, mean_marginal, most_chains]) AS value FROM s)""",
     "r_marks": r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)<execute\b')) AS INT) AS n_execute, CAST(len(regexp_extract_all(text, '(?i)<solution\b')) AS INT) AS n_solution,
       coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\b(score_[a-z]+|rank_[a-z]+)\b', 1))), ','), '') AS tools FROM documents WHERE text IS NOT NULL""",
-    "r_redacted": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(replace(replace(replace(text, 'ALGAV_S25', '[REDACTED]'), 'ALGAV_S2', '[REDACTED]'), 'timeout', '[REDACTED]'),
-      '(?i)\b([A-Z0-9_]*API[_-]?KEY[A-Z0-9_]*)(\s*[=:]\s*)\S+', '\1\2[REDACTED]', 'g'), '\bsk-[A-Za-z0-9_-]{8,}', '[REDACTED]', 'g')) AS digest FROM documents WHERE source = 'agent_log'""",
+    "r_redacted": rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(replace(replace(replace(text, 'ALGAV_S25', '[REDACTED]'), 'ALGAV_S2', '[REDACTED]'), 'timeout', '[REDACTED]'),
+      '(?i)(api\s*key|api_key|authorization|bearer\s+token|access\s*token)(\s*[:=]\s*)(bearer\s+)?\S+', '\1\2[REDACTED]', 'g'), '\b(sk|sk-proj|sk-ant|xai)-[A-Za-z0-9._-]{{12,}}\b', '[REDACTED]', 'g')) AS digest
+      FROM ({_LOGS})""",
     "r_prompts": f"""SELECT query_id, md5(b) AS digest, CAST(length(b) AS INT) AS n_chars FROM (SELECT query_id, 'Readout ' || coalesce(nullif(trim(readout_subclass, {STRIP}), ''), 'unknown') || '.' || chr(10) || 'Anchor: ' || coalesce(anchor_mutant, '')
       || chr(10) || 'Sequence: ' || coalesce(wildtype_sequence, '') || chr(10) || 'Answer as {{"ranking": [...]}}' AS b FROM queries q JOIN assays a ON a.assay_id = q.source_assay WHERE task = 'T3')""",
-    "r_safe_names": f"""SELECT query_id, CASE WHEN length(c) <= 40 THEN c ELSE substr(c, 1, 27) || '_' || substr(sha1(source_csv), 1, 12) END AS name
-      FROM (SELECT query_id, source_csv, CASE WHEN {_NAME_CLEAN} = '' THEN 'item' ELSE {_NAME_CLEAN} END AS c FROM queries)""",
+    "r_safe_names": f"""SELECT query_id, CASE WHEN length(c) <= 40 THEN c ELSE substr(c, 1, 29) || '_' || substr(sha1(source_csv), 1, 10) END AS name
+      FROM (SELECT query_id, source_csv, CASE WHEN {_NAME_CLEAN} = '' THEN 'unknown' ELSE {_NAME_CLEAN} END AS c FROM queries)""",
 }

@@ -1,15 +1,15 @@
-"""Writing results: task-partitioned tables, small files in one piece, sequences as text."""
+"""Writing results: task-partitioned tables, small files in one piece, sequences as text, wherever the cluster keeps them."""
 
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.sources import storage
+
 
 def by_task(df: DataFrame, folder: str, order: list, column: str = "task") -> None:
     """One subfolder a task, rows of a file in order. An existing folder is refused."""
@@ -17,11 +17,11 @@ def by_task(df: DataFrame, folder: str, order: list, column: str = "task") -> No
 
 
 def one_csv(df: DataFrame, path: str | Path, most: int = 1_000_000) -> None:
-    """A small result as one CSV file that appears whole or not at all; beyond ``most`` rows it is refused."""
+    """A small result as one CSV file that appears whole or not at all; beyond ``most`` rows it is refused: write a table."""
     frame = df.limit(most + 1).toPandas()
     if len(frame) > most:
         raise ValueError(f"more than {most} rows: write a table")
-    _replace(Path(path), frame.to_csv(index=False))
+    storage.write_text(df.sparkSession, path, frame.to_csv(index=False))
 
 
 def one_json(df: DataFrame, path: str | Path) -> None:
@@ -29,15 +29,7 @@ def one_json(df: DataFrame, path: str | Path) -> None:
     rows = df.limit(2).collect()
     if len(rows) != 1:
         raise ValueError("exactly one row is needed")
-    _replace(Path(path), json.dumps(rows[0].asDict(True), sort_keys=True, indent=2, default=str) + "\n")
-
-
-def _replace(path: Path, content: str) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=path.parent)
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        f.write(content)
-    os.replace(name, path)
+    storage.write_text(df.sparkSession, path, json.dumps(rows[0].asDict(True), sort_keys=True, indent=2, default=str) + "\n")
 
 
 def fasta(df: DataFrame, folder: str, header: str = "header", sequence: str = "sequence") -> None:
@@ -46,6 +38,7 @@ def fasta(df: DataFrame, folder: str, header: str = "header", sequence: str = "s
 
 
 def append_json(df: DataFrame, folder: str) -> None:
+    """Rows as JSON lines behind what the log has."""
     df.write.mode("append").json(folder)
 
 
@@ -54,9 +47,31 @@ def by_key_json(df: DataFrame, folder: str, key: str) -> None:
     df.repartition(key).write.mode("errorifexists").partitionBy(key).json(folder)
 
 
-def decimals(column, digits: int = 8):
-    """A double in at most ``digits`` significant digits, as text."""
-    return F.format_string(f"%.{digits}g", column)
+def decimals(column: Column, digits: int = 8) -> Column:
+    """A double in at most ``digits`` significant digits as text, as C writes ``%.<digits>g``: no zeros at the end of a fraction.
+
+    Fixed notation is used for exponents from -4 to ``digits`` - 1, after rounding. Null gives null; ``nan``, ``inf``, ``-inf``.
+    Numbers below 2.3e-308 show the digits of their shortest form only.
+    """
+    told = F.format_string(f"%.{digits - 1}e", column)
+    power = F.substring_index(told, "e", -1).cast("int")
+    plain = F.regexp_replace(told, "e.*", "")
+    short = lambda c: F.when(F.contains(c, F.lit(".")), F.regexp_replace(c, r"\.?0+\z", "")).otherwise(c)
+    # of the rounded number no more digits are shown than it has
+    places = {k: F.format_string(f"%.{digits - 1 - k}f", told.cast("double")) for k in range(-4, digits)}
+    fixed = F.coalesce(*[F.when(power == k, short(v)) for k, v in places.items()])
+    sign = F.when(power < 0, "-").otherwise("+")
+    science = F.concat(short(plain), F.lit("e"), sign, F.format_string("%02d", F.abs(power)))
+    odd = F.when(F.isnan(column), "nan").when(column == float("inf"), "inf").when(column == float("-inf"), "-inf")
+    zero = F.when(column == 0, "0")
+    return F.when(column.isNotNull(), F.coalesce(odd, zero, fixed, science))
+
+
+def summary_row(task: str, counts: dict, metrics: dict, quality: dict) -> dict:
+    """A nested summary as one flat row: what it is about, how many cases, its metrics, its quality counters."""
+    head = {"setting": task, **{k: counts[k] for k in ("num_assays", "num_queries", "num_target_cases", "lenient")}}
+    first = {k: quality[k] for k in ("random_replacement_cases", "skipped_cases")}
+    return {**head, **first, **metrics, **{k: v for k, v in quality.items() if k not in first}}
 
 
 def cache_append(df: DataFrame, folder: str, keys: list[str]) -> DataFrame:

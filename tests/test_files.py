@@ -28,7 +28,18 @@ def test_truth_tree(spark, tmp_path):
     with pytest.raises(files.SourceError, match="DMS_score"):
         files.truth(spark, tmp_path, "T1")
     with pytest.raises(files.SourceError):
-        files.truth_root(tmp_path / "nowhere", "T1")
+        files.truth_root(spark, tmp_path / "nowhere", "T1")
+
+
+@pytest.mark.parametrize("content, why", [
+    ("candidate_group_id,mutant,DMS_score\ng1,A1V,1\ng2,A1G,1\n", "several"), ("candidate_group_id,mutant,DMS_score\ng1,,1\ng1,A1G,x\n", "no valid"),
+    ("candidate_group_id,mutant,DMS_score\ng0,A1V,1\n", "files of one group"), ("candidate_group_id,mutant,DMS_score\n", "without rows"), ("candidate_group_id,mutant\ng,A1V\n", "no column"),
+])
+def test_truth_trees_that_are_refused(spark, tmp_path, content, why):
+    _write(tmp_path / "T3/norm_data/a/anchor_1.csv", "candidate_group_id,mutant,DMS_score\ng0,A1V,1\n")
+    _write(tmp_path / "T3/norm_data/b/anchor_2.csv", content)
+    with pytest.raises(files.SourceError, match=why):
+        files.truth(spark, tmp_path, "T3")
 
 
 def test_predictions(spark, tmp_path):
@@ -38,7 +49,17 @@ def test_predictions(spark, tmp_path):
     _write(tmp_path / "d/x.csv", "mutation,rank\nA1V,2\n,1\n")
     _write(tmp_path / "d/sub/y__z.csv", "mutant\nC2D\nA1V\n")
     got = sorted((r["grp"], r["item"], r["order_value"]) for r in files.predictions(spark, tmp_path / "d", "T2").collect())
-    assert got == [("sub|y|z", "A1V", 2.0), ("sub|y|z", "C2D", 1.0), ("x", "A1V", 2.0)]
+    assert got == [("x", "A1V", 2.0), ("y|z", "A1V", 2.0), ("y|z", "C2D", 1.0)]
+    # files further down stand for their group whatever columns they have, as do _random_multi files of T2
+    _write(tmp_path / "e/p/q.csv", "assay,mutant\nother,A1V\n")
+    _write(tmp_path / "e/r_random_multi.csv", "assay,mutant\nother,A1V\n")
+    _write(tmp_path / "e/s.csv", "assay,mutant\n , A1V\nother,A1V\nother, \n")
+    groups = lambda task, group=None: sorted(r["grp"] for r in files.predictions(spark, tmp_path / "e", task, group).collect())
+    assert groups("T2") == ["other", "p|q", "r_random_multi"] and groups("T3") == ["other", "other", "p_T3"] and groups("T2", "assay") == ["other", "other", "p|q"]
+    # a blank group is left out before its score is looked at
+    blank = _write(tmp_path / "blank.csv", "assay,mutant,score\n ,A1V,oops\ng,A1V,1_0\n")
+    assert [(r["grp"], r["order_value"], r["input_index"]) for r in files.predictions(spark, blank, "T2").collect()] == [("g", -10.0, 1)]
+    assert [files.top_k(t, k) for t, k in (("T1", None), ("T2", 40), ("T2", 7), ("T1", 3))] == [40, 5, 7, 3]
     bad = _write(tmp_path / "bad.csv", "assay,mutant,score\ng,A1V,oops\n")
     with pytest.raises(Exception, match="bad score"):
         files.predictions(spark, bad, "T2").collect()
@@ -57,20 +78,76 @@ def test_assays_candidates_context(spark, tmp_path):
     with gzip.open(tmp_path / "p.csv.gz", "wt") as f:
         f.write("a,b\n1,\n")
     assert files.read_csv(spark, [tmp_path / "p.csv.gz"]).select("a", "b", "input_index").first() == ("1", "", 0)
-    with pytest.raises(Exception, match="more fields"):
-        files.read_csv(spark, [_write(tmp_path / "w.csv", "a\n1,2\n")]).collect()
+    rows = files.read_csv(spark, [_write(tmp_path / "w +x.csv", 'a,b\n1,2,3\n\n"x\n""y""",\n4\n')]).orderBy("input_index").collect()
+    assert [(r["a"], r["b"], r["input_index"]) for r in rows] == [("1", "2", 0), ('x\n"y"', "", 1), ("4", "", 2)] and rows[0]["path"].endswith("/w +x.csv")
+    with pytest.raises(files.SourceError, match="header"):
+        files.read_csv(spark, [_write(tmp_path / "none.csv", "")])
+
+
+def test_groups_of_the_agent(spark, tmp_path):
+    """Windows of assays and groups, exactly one group id, the visible anchor, the context's place."""
+    data = tmp_path / "T3"
+    _write(data / "norm_data/a/anchor_1.csv", "candidate_group_id,mutant,anchor_mutant,anchor_DMS_score\ng1, A1V ,,\ng1,,C2D,0.5\n")
+    _write(data / "norm_data/a/anchor_2.csv", "candidate_group_id,mutant,anchor_mutant,anchor_DMS_score,model_visible_anchor_DMS_score\ng2,A1G,C2D,0.5,0.7\n")
+    _write(data / "norm_data/b/anchor_1.csv", "candidate_group_id,mutant,anchor_mutant,anchor_DMS_score\ng3,A1V,C2D,1\n")
+    records = spark.createDataFrame([("a", 0), ("b", 1)], "assay_id string, assay_no int")
+    groups, items = files.group_files(spark, data, "T3", records)
+    assert sorted((r["source_assay"], r["grp"], r["anchor_score"]) for r in groups.collect()) == [("a", "g1", "0.5"), ("a", "g2", "0.7"), ("b", "g3", "1")]
+    assert sorted(r["item"] for r in items.collect()) == ["A1G", "A1V", "A1V"]
+    grp = lambda **k: sorted(r["grp"] for r in files.group_files(spark, data, "T3", records, **k)[0].collect())
+    assert grp(most_groups=1, groups_from=1) == ["g2"] and grp(assays_from=1) == ["g3"] and grp(most_assays=1) == ["g1", "g2"]
+    four = tmp_path / "T4"
+    _write(four / "norm_data/a/single_context_combo_1.csv", "candidate_group_id,mutant\ng,A1V:C2D\n")
+    _write(four / "norm_data/b/single_context_combo_1.csv", "candidate_group_id,mutant,single_mutant_context_path\nh,A1V:C2D,T4/c.csv\n")
+    places = {r["grp"]: r["context_path"] for r in files.group_files(spark, four, "T4", records)[0].collect()}
+    assert places["g"].endswith("/norm_data/a/single_mutant_context.csv") and places["h"] == f"file://{tmp_path}/T4/c.csv"
+    _write(four / "norm_data/b/single_context_combo_2.csv", "candidate_group_id,mutant\nh,A1V\ni,A1V\n")
+    with pytest.raises(files.SourceError, match="exactly one"):
+        files.group_files(spark, four, "T4", records)
+    two = tmp_path / "T2"
+    _write(two / "norm_data/a_random_multi.csv", "mutant\nA1V\n")
+    _write(two / "norm_data/a.csv", "mutant\nA1V\n")
+    assert [(r["source_assay"], r["grp"]) for r in files.group_files(spark, two, "T2", records)[0].collect()] == [("a", "a_random_multi")]
+
+
+def test_small_readers(spark, tmp_path):
+    t = _write(tmp_path / "theta.csv", "key,theta\na,0.2\nb,0.01\n")
+    assert files.thetas(spark, t, "key").count() == 2
+    for bad in ("a,0.2\na,0.3\n", "a,1\n", ",0.5\n", "a,x\n"):
+        with pytest.raises(files.SourceError):
+            files.thetas(spark, _write(tmp_path / "bad.csv", "key,theta\n" + bad), "key")
+    assert files.line_count(spark, t) == 3 and files.line_count(spark, tmp_path / "nothing") == 0
+    assert files.first_existing(spark, [tmp_path / "no", t]) == str(t) and files.first_existing(spark, []) is None
+    paths = spark.createDataFrame([("b", "AC"), ("a", "AC"), ("c", "D")], "path string, query string")
+    got = files.context_index(paths, spark.createDataFrame([("AC",), ("E",)], "sequence string"))
+    assert sorted((r["sequence"], r["path"]) for r in got.collect()) == [("AC", "a"), ("E", None)]
+    records = spark.createDataFrame([("x", "/d/./p.csv"), ("y", ""), ("z", None)], "assay_id string, candidate_path string")
+    found = files.candidate_index(spark.createDataFrame([("file:///d/p.csv",), ("file:///d/q.csv",)], "path string"), records)
+    assert sorted((r["path"], r["assay_id"]) for r in found.collect()) == [("file:///d/p.csv", "x"), ("file:///d/q.csv", None)]
+    row = spark.createDataFrame([(" ", "b ", None)], "a string, b string, c string").select(files.first_filled(["a", "b"]).alias("x"), files.first_filled(["a", "c"]).alias("y")).first()
+    assert tuple(row) == ("b", "unknown")
+
+
+def test_numbers_as_c_writes_them(spark):
+    values = [0.5, 1.0, 1e-5, 123456789.0, 0.1 + 0.2, -2.5e-4, 12345678.9, 99999999.9, 1e300, -1.0 / 3, 0.0, 1e-300, 1234567.891, float("inf"), float("nan"), 100.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(sinks.decimals(F.col("v"))).collect()] == ["%.8g" % v for v in values]
 
 
 def _shards(folder, **change):
+    config = {"model_id": "m", "output_schema_sha256": "s"}
     for n in range(2):
-        _write(folder / f"shard_{n:04d}.json", json.dumps({"shard_id": n, "num_shards": 2, "samples": 1, "dataset_id": "d", "dataset_hash": "h", "run_config_sha256": "c"} | change))
+        _write(folder / f"shard_{n:04d}.json", json.dumps({"shard_id": n, "num_shards": 2, "samples": 1, "dataset_id": "d", "dataset_hash": "h", "run_config": config, "run_config_sha256": files.json_digest(config)} | change))
         _write(folder / f"shard_{n:04d}.csv", f"sample_id,x\ns{n},1\n")
 
 
 def test_shards(spark, tmp_path):
     _shards(tmp_path / "ok")
-    assert files.shards(spark, tmp_path / "ok").count() == 2
-    for change, why in (({"num_shards": 3}, "incomplete"), ({"samples": 2}, "rows"), ({"partial_run": True}, "partial")):
+    assert files.shards(spark, tmp_path / "ok", ["sample_id", "x"], "s", {"dataset_id": "d", "dataset_hash": "h"}).count() == 2
+    for asked, why in ((dict(columns=["x", "sample_id"]), "columns"), (dict(schema_digest="t"), "provenance"), (dict(dataset={"dataset_id": "d", "dataset_hash": "i"}), "another")):
+        with pytest.raises(files.SourceError, match=why):
+            files.shards(spark, tmp_path / "ok", **asked)
+    for change, why in (({"num_shards": 3}, "incomplete"), ({"samples": 2}, "rows"), ({"partial_run": True}, "partial"), ({"run_config_sha256": "no"}, "provenance")):
         _shards(tmp_path / why, **change)
         with pytest.raises(files.SourceError, match=why):
             files.shards(spark, tmp_path / why)

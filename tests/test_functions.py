@@ -1,5 +1,6 @@
 """Notations, windows, vectors, responses, integrity rules."""
 
+import hashlib
 import json
 import math
 
@@ -50,7 +51,21 @@ def test_numbers_and_names(spark):
     df = spark.createDataFrame(cases, "a string, b double")
     assert [r["x"] for r in df.select(text.finite_number(F.col("a")).alias("x")).collect()] == [b for _, b in cases]
     assert _one(spark, text.group_id(F.col("a")), a=" x.csv\n") == "x"
-    assert _one(spark, text.redact(F.col("a"), ["abc", "abcd"]), a="abcd MY_API_KEY=zz sk-123456789") == "[REDACTED] MY_API_KEY=[REDACTED] [REDACTED]"
+    told = {
+        "abcd api_key=zz sk-1234567890123": "[REDACTED] api_key=[REDACTED] [REDACTED]", "Authorization: Bearer x.y-z end": "Authorization: [REDACTED] end",
+        "API  key : q": "API  key : [REDACTED]", "bearer token=t": "bearer token=[REDACTED]", "Access Token: Bearer t u": "Access Token: [REDACTED] u",
+        "xai-a.b_c-0123456789": "[REDACTED]", "sk-short": "sk-short", "MY_API_KEY=zz": "MY_API_KEY=[REDACTED]",
+    }
+    for said, want in told.items():
+        assert _one(spark, text.redact(F.col("a"), ["abc", "abcd"]), a=said) == want
+    for value, want in ((" \xa0 1_000.5e-1\u2003", 100.05), ("1__0", None), ("_1", None), ("inf", None), ("1d", None), (".5", 0.5), ("1e400", None), ("", None), (None, None)):
+        assert _one(spark, text.python_float(F.col("a")), a=value) == want
+    for value, want in (("a b/c.csv", "a_b_c.csv"), ("..", "unknown"), ("", "unknown"), ("__x-._", "x-"), (None, None)):
+        assert _one(spark, text.safe_component(F.col("a")), a=value) == want
+    assert _one(spark, text.safe_component(F.col("a"), 20), a="abcdefghijklmnopqrstuvwxyz") == "abcdefghi_" + hashlib.sha1(b"abcdefghijklmnopqrstuvwxyz").hexdigest()[:10]
+    assert _one(spark, text.residues_only(F.col("a")), a=" ac-xB:D1 ") == "ACD" and _one(spark, text.residues_only(F.col("a")), a=" NaN ") == ""
+    assert _one(spark, text.joined_sequence(F.col("a")), a=">h x\nac d\r\n-e\n >i\nf") == "ACD-EF" and _one(spark, text.joined_sequence(F.col("a"), False), a="a-\tc") == "AC"
+    assert [_one(spark, text.service_url(F.col("a")), a=x) for x in ("h/", "h/v1//", "", None)] == ["h/v1", "h/v1", None, None]
 
 
 def test_csv_fields(spark):
