@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.text import nonblank
-from tallyweave.operators import integrity
+from tallyweave.operators import canonical, integrity
 from tallyweave.session import finite
 
 IDENTITY = ["subset", "candidate_group_id", "source_assay", "mutant"]
@@ -56,6 +56,35 @@ def summed_chains(rows: DataFrame) -> DataFrame:
     )
 
 
+def finalised(rows: DataFrame, outputs: list[str]) -> DataFrame:
+    """One row a sample of a run's chain rows: its identity and every declared output summed over its chains."""
+    return rows.groupBy("sample_id").agg(*[F.min(c).alias(c) for c in IDENTITY], F.count(F.lit(1)).alias("n_chains"), *[F.sum(F.col(c).cast("double")).alias(c) for c in outputs])
+
+
+def final_rules(rows: DataFrame, results: DataFrame, expected: DataFrame, queries: DataFrame, outputs: list[str]) -> DataFrame:
+    """(rule, key, detail) of what keeps a run from being final, given its chain rows, its results and the dataset's samples.
+
+    ``expected`` is (sample_id, task, query_id, source_assay, mutant, sample_role) of evaluation and context samples, ``queries``
+    (task, query_id, expected_samples). Failed rows, outputs that aren't finite numbers, identities that differ between
+    chains; samples without result and results without sample; fields that differ; queries of another size.
+    """
+    both = expected.join(results.select("sample_id", *[F.col(c).alias(f"_{c}") for c in IDENTITY]), "sample_id")
+    same = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in (("task", "_subset"), ("query_id", "_candidate_group_id"), ("source_assay", "_source_assay"), ("mutant", "_mutant"))])
+    ranked = roles(results, expected).filter(F.col("sample_role") == canonical.EVALUATION)
+    sizes = ranked.groupBy("task", "query_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return reduce(DataFrame.unionByName, [
+        integrity.holds(rows, "sample_id", is_ok(F.col("status")), "status_ok"), integrity.finite_columns(rows.select("sample_id", *[F.col(c).cast("double").alias(c) for c in outputs]), "sample_id", outputs, "finite_outputs"),
+        integrity.one_value(rows, ["sample_id"], IDENTITY, "identity_agrees"), integrity.unique(expected, ["sample_id"], "expected_unique"),
+        integrity.same_set(expected.select("sample_id"), results.select("sample_id"), ["sample_id"], "coverage"), integrity.holds(both, "sample_id", same, "same_fields"),
+        integrity.membership(queries.select("task", "query_id", F.col("expected_samples").cast("int").alias("n")), sizes, ["task", "query_id"], "n", "query_size"),
+    ])
+
+
+def roles(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """Results with their sample's role, task and query; filtered by role they are the ranking's and the context's results."""
+    return results.join(expected.select("sample_id", "sample_role", "task", "query_id"), "sample_id")
+
+
 def coverage(expected: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join of expected and delivered keys with where each is found: both, expected only, result only."""
     a, b = expected.select(*keys).distinct().withColumn("_e", F.lit(True)), results.select(*keys).distinct().withColumn("_r", F.lit(True))

@@ -51,13 +51,8 @@ def z_ensemble(rows: DataFrame, group: list[str], columns: list[str], reference:
     return out.withColumn(name, sum(z[1:], z[0]) / len(z)).drop(*[c for c in stats.columns if c not in group])
 
 
-def seed_mean(columns: list[str], sign: float = -1.0) -> Column:
-    """Mean of a row's seeds with its sign turned; null if one is missing."""
-    return sign * sum((F.col(c) for c in columns[1:]), F.col(columns[0])) / len(columns)
-
-
 def stand_in(found: Column, bonus: float = 0.0) -> Column:
-    """Deterministic stand-in for a model's score from parts (wt, pos, alt). Not a biological model."""
+    """A repeatable number from the letters and places of a mutant, where no model is at hand; it says nothing about fitness."""
     return F.aggregate(found, F.lit(float(bonus)), lambda acc, x: acc + (F.ascii(x["alt"]) - F.ascii(x["wt"])) / F.lit(25.0) - F.lit(0.03) * x["pos"])
 
 

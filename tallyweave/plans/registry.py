@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.plans import evaluation, general, geometry, preparation, results, scoring
+from tallyweave.plans import evaluation, general, geometry, preparation, results, scoring, storage
 
-_MODULES = [general, evaluation, preparation, scoring, results, geometry]
+_MODULES = [general, evaluation, preparation, scoring, results, geometry, storage]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
