@@ -31,34 +31,72 @@ def within(points: DataFrame, group: str, radius: float) -> DataFrame:
     return met.select(group, "id", "other", apart.alias("distance")).filter(F.col("distance") < radius)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 512, parts: int = 16) -> DataFrame:
-    """(query_id, rank, id, distance): the k nearest rows of each query, exactly, itself left out; smaller ids win ties.
-
-    Both tables are (id, vector). Queries are a stated set; blocks of about ``block`` of them meet hashed parts of the rows,
-    each such meeting keeps k rows a query, and a window over those few ranks them. Null vectors take no part.
+def _closest(a: np.ndarray, me: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of the k nearest of ``b`` to each of ``a``, itself left out. Products of all with all only choose
+    whom to measure: everyone within rounding of the k-th."""
+    square = (b * b).sum(1)
+    said, found, far = [], [], []
+    for start in range(0, len(a), 256):
+        q, own = a[start : start + 256], me[start : start + 256]
+        rough = (q * q).sum(1)[:, None] + square - 2 * (q @ b.T)
+        rough[own[:, None] == ids] = np.inf
+        slack = 1e-9 * ((q * q).sum(1) + square.max())
+        least = min(k, len(b)) - 1
+        edge = np.partition(rough, least, 1)[:, least] + slack
+        row, col = np.nonzero((rough <= edge[:, None]) & np.isfinite(rough))
+        apart = np.sqrt(((b[col] - q[row]) ** 2).sum(1))
+        order = np.lexsort((ids[col], apart, row))
+        row, col, apart = row[order], col[order], apart[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = nth < k
+        said.append(own[row[kept]])
+        found.append(ids[col[kept]])
+        far.append(apart[kept])
+    return np.concatenate(said), np.concatenate(found), np.concatenate(far)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, group: str | None = None, block: int = 8192, part: int = 50_000) -> DataFrame:
+    """(query_id, rank, id, distance), with ``group`` that in front: the k nearest rows of each query, exactly, itself left out;
+    smaller ids win ties.
+
+    Both tables are (id, vector), with ``group`` (id, group, vector): then rows of the same group are looked at only. Queries are a
+    stated set; blocks of about ``block`` of them meet hashed parts of about ``part`` rows, so a row is copied once for every
+    ``block`` queries. Each meeting keeps k rows a query, and a window over those few ranks them. Null vectors take no part.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    q = queries.dropna().withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks).cast("bigint"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    r = rows.dropna().withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    keys = [group] if group else []
+    blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((queries, block), (rows, part)))
+    hashed = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n).cast("bigint")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.dropna().select("id", "vector", *keys, hashed(blocks, 0).alias("block")).withColumn("part", every(parts))
+    r = rows.dropna().select("id", "vector", *keys, hashed(parts, 1).alias("part")).withColumn("block", every(blocks))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         if left.empty or right.empty:
-            return empty
-        a, b = np.stack(left["vector"]).astype(np.float64), np.stack(right["vector"]).astype(np.float64)
-        ids, out = right["id"].to_numpy(), []
-        for vector, me in zip(a, left["id"].to_numpy()):
-            d = np.sqrt(((b - vector) ** 2).sum(1))
-            d[ids == me] = np.inf
-            best = np.lexsort((ids, d))[:k]
-            best = best[np.isfinite(d[best])]
-            out.append(pd.DataFrame({"query_id": me, "id": ids[best], "distance": d[best]}))
-        return pd.concat(out) if out else empty
-
-    met = q.groupBy("block", "part").cogroup(r.groupBy("block", "part")).applyInPandas(meet, "query_id bigint, id bigint, distance double")
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+            said, found, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        else:
+            a, b = np.stack(left["vector"]).astype(np.float64), np.stack(right["vector"]).astype(np.float64)
+            said, found, far = _closest(a, left["id"].to_numpy(), b, right["id"].to_numpy(), k)
+        out = pd.DataFrame({"query_id": said, "id": found, "distance": far})
+        return out.assign(**{group: left[group].iloc[0] if len(left) else None})[[*keys, *out.columns]] if group else out
+
+    types = "".join(f"`{g}` {dict(queries.dtypes)[g]}, " for g in keys)
+    by = [*keys, "block", "part"]
+    met = q.groupBy(*by).cogroup(r.groupBy(*by)).applyInPandas(meet, f"{types}query_id bigint, id bigint, distance double")
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "query_id").orderBy("distance", "id")))
+    return ranked.filter(F.col("rank") <= k).select(*keys, "query_id", "rank", "id", "distance")
+
+
+def radial(distance: Column, least: float, most: float, count: int) -> Column:
+    """Gaussian bumps of a distance: ``count`` centres from ``least`` to ``most``, each as wide as the step between them."""
+    step = (most - least) / max(count - 1, 1)
+    centres = [least + i * step for i in range(count)]
+    return F.array(*[F.exp(-(((distance - c) / (step or 1.0)) ** 2)) for c in centres])
+
+
+def positional(offset: Column, size: int) -> Column:
+    """Cosines, then sines, of an offset at ``size`` / 2 frequencies from 1 down to 1 / 10000."""
+    turns = [offset * 10000.0 ** (-2 * i / size) for i in range(size // 2)]
+    return F.array(*[F.cos(t) for t in turns], *[F.sin(t) for t in turns])
 
 
 def voxels(points: DataFrame, group: str, width: float) -> DataFrame:
