@@ -61,7 +61,7 @@ def decide(flags: DataFrame, mode: int) -> DataFrame:
     return flags.filter(~F.col("unknown")).withColumn("status", status)
 
 
-def evaluate(truth: DataFrame, predictions: DataFrame, decided: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+def evaluate(truth: DataFrame, predictions: DataFrame, decided: DataFrame, heavy: bool = False) -> DataFrame:
     """Metrics of every group that isn't skipped; T1 has null ndcg and spearman. One plan over all groups."""
     kept = cut(decided.filter(F.col("status") != "skipped").select("grp", "task", "k", "status", "provided"))
     given = predictions.join(kept.filter(F.col("status") == "provided").select("grp"), "grp", "left_semi")

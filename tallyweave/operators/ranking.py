@@ -59,12 +59,12 @@ def read_predictions(raw: DataFrame) -> DataFrame:
     return rows.filter(finite(F.col("order_value"))).dropna(subset=["grp", "item"])
 
 
-def placed(predictions: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+def placed(predictions: DataFrame, heavy: bool = False) -> DataFrame:
     """Add pos, the place in the group's ranking."""
     return numbered(predictions, "grp", F.col("order_value"), [F.col("input_index"), F.col("item")], "pos", heavy)
 
 
-def truth_places(truth: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+def truth_places(truth: DataFrame, heavy: bool = False) -> DataFrame:
     """Add best-first place, average rank, the group's size, range, and gain (1 where all scores are equal)."""
     out = numbered(truth.withColumn("down", -F.col("score")), "grp", F.col("down"), [F.col("item")], "place", heavy)
     out = average_rank(out, "grp", "score", "place", "truth_rank", heavy).drop("down")
@@ -84,10 +84,10 @@ def as_number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double")
 
 
-def joined(truth: DataFrame, predictions: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+def joined(truth: DataFrame, predictions: DataFrame, heavy: bool = False) -> DataFrame:
     """Placed predictions beside their item's truth; ``first`` marks an item's first naming, ``legal`` those in the pool."""
     ranked = placed(predictions, heavy)
-    if heavy is None:
+    if not heavy:
         ranked = ranked.withColumn("first", F.col("pos") == F.min("pos").over(Window.partitionBy("grp", "item")))
     else:
         firsts = ranked.groupBy("grp", "item").agg(F.min("pos").alias("_first"))
@@ -139,7 +139,7 @@ def head_metrics(truth: DataFrame, ranked: DataFrame, groups: DataFrame) -> Data
     )
 
 
-def prediction_ranks(truth: DataFrame, ranked: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+def prediction_ranks(truth: DataFrame, ranked: DataFrame, heavy: bool = False) -> DataFrame:
     """Per truth item its predicted rank: average ranks of the first legal namings by order value, then what is missing."""
     legal = ranked.filter(F.col("legal") & F.col("first")).select("grp", "item", "order_value", "pos")
     legal = numbered(legal, "grp", F.col("order_value"), [F.col("pos")], "number", heavy)
@@ -162,7 +162,7 @@ def spearman(ranks: DataFrame) -> DataFrame:
     return sums.select("grp", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)).alias("spearman"))
 
 
-def replacement(truth: DataFrame, groups: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+def replacement(truth: DataFrame, groups: DataFrame, heavy: bool = False) -> DataFrame:
     """The pseudo-random ranking of all items of ``groups`` (grp, task, k), cut to k for T1, as predictions."""
     rows = truth.select("grp", "item").join(groups.select("grp", "task", "k"), "grp")
     rows = rows.withColumn("digest", missing_order(F.col("grp"), F.col("item"), _SEED))

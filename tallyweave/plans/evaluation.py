@@ -5,51 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.operators import policy, ranking
-from tallyweave.operators.ordering import heavy_groups
+from tallyweave.operators import ordering, policy, ranking
 from tallyweave.plans.common import BASE, predictions, r6, sql_r6, tasks, truth, truth_rows
 from tallyweave.session import cut, table
 
 _COUNTERS = ["predicted_rows", "selected_rows", "unique_legal", "unique_legal_in_budget", "illegal_total", "illegal_in_budget", "duplicate_total", "duplicate_in_budget"]
 
 
+def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Truth and predictions, written once for all that reads them."""
+    return cut(truth(spark, d)), cut(predictions(spark, d))
+
+
 def _flags(spark: SparkSession, d: str) -> DataFrame:
     return policy.group_flags(truth(spark, d), predictions(spark, d), tasks(spark, d))
 
 
-def _results(spark: SparkSession, d: str, mode: int, flags: DataFrame | None = None) -> DataFrame:
-    known, said = cut(truth(spark, d)), cut(predictions(spark, d))
-    flags = policy.group_flags(known, said, tasks(spark, d)) if flags is None else flags
-    return policy.evaluate(known, said, policy.decide(flags, mode), _heavy(known, said))
+def _heavy(flags: DataFrame) -> bool:
+    """Whether a group is too large for one task's sort, on either side."""
+    return not flags.filter(F.greatest("n", "provided") >= ordering.HEAVY_FROM).isEmpty()
 
 
-def _summary(spark: SparkSession, d: str) -> DataFrame:
-    flags = cut(_flags(spark, d))
-    return policy.summary(_results(spark, d, 1, flags), flags, ranking.truth_quality(truth_rows(spark, d)))
+def _results(spark: SparkSession, d: str, mode: int, heavy: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """Results and flags of all groups."""
+    known, said = _tables(spark, d)
+    flags = cut(policy.group_flags(known, said, tasks(spark, d)))
+    return policy.evaluate(known, said, policy.decide(flags, mode), _heavy(flags) if heavy is None else heavy), flags
 
 
-def _heavy(known: DataFrame, said: DataFrame) -> DataFrame | None:
-    """Groups too large for one task's sort, on either side."""
-    return heavy_groups(known.select("grp").unionByName(said.select("grp")), "grp")
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    results, flags = _results(spark, d, 1)
+    return policy.summary(results, flags, ranking.truth_quality(truth_rows(spark, d)))
 
 
-def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    known, said = cut(truth(spark, d)), cut(predictions(spark, d))
-    heavy = _heavy(known, said)
+def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Truth by place, predictions beside it, flags, and whether a group is large."""
+    known, said = _tables(spark, d)
+    flags = cut(policy.group_flags(known, said, tasks(spark, d)))
+    heavy = _heavy(flags)
     places = ranking.truth_places(known, heavy)
-    return places, ranking.joined(places, said, heavy)
+    return places, ranking.joined(places, said, heavy), flags, heavy
 
 
 def _prediction_ranks(spark: SparkSession, d: str) -> DataFrame:
-    known, said = cut(truth(spark, d)), cut(predictions(spark, d))
-    heavy = _heavy(known, said)
-    places = ranking.truth_places(known, heavy)
-    return ranking.prediction_ranks(places, ranking.joined(places, said, heavy), heavy)
+    places, ranked, _, heavy = _ranked(spark, d)
+    return ranking.prediction_ranks(places, ranked, heavy)
 
 
 def _heads(spark: SparkSession, d: str) -> DataFrame:
-    places, ranked = _ranked(spark, d)
-    return ranking.head_metrics(places, ranked, _flags(spark, d).filter("NOT unknown").select("grp", "k"))
+    places, ranked, flags, _ = _ranked(spark, d)
+    return ranking.head_metrics(places, ranked, flags.filter("NOT unknown").select("grp", "k"))
 
 
 def e_truth(spark: SparkSession, d: str) -> DataFrame:
@@ -63,14 +68,23 @@ def e_truth_quality(spark: SparkSession, d: str) -> DataFrame:
 
 def e_placed(spark: SparkSession, d: str) -> DataFrame:
     said = cut(predictions(spark, d))
-    return ranking.placed(said, heavy_groups(said, "grp")).select("grp", "item", "order_value", "input_index", "pos").groupBy("grp").agg(
+    return _order_sums(ranking.placed(said, ordering.has_heavy(said, "grp")))
+
+
+def e_placed_large(spark: SparkSession, d: str) -> DataFrame:
+    """As e_placed, all groups numbered the way large ones are."""
+    return _order_sums(ranking.placed(predictions(spark, d), True))
+
+
+def _order_sums(placed: DataFrame) -> DataFrame:
+    return placed.select("grp", "item", "order_value", "input_index", "pos").groupBy("grp").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("pos").alias("last_pos"), F.sum(F.col("pos") * F.pmod(F.col("input_index"), F.lit(97))).alias("order_sum")
     )
 
 
 def e_legal(spark: SparkSession, d: str) -> DataFrame:
     """Predictions by place with whether their item is in the pool and named for the first time."""
-    _, ranked = _ranked(spark, d)
+    _, ranked, _, _ = _ranked(spark, d)
     return ranked.groupBy("grp", "legal", "first").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("pos").alias("pos_sum"))
 
 
@@ -102,7 +116,7 @@ def e_quality(spark: SparkSession, d: str) -> DataFrame:
 
 def e_average_rank(spark: SparkSession, d: str) -> DataFrame:
     known = cut(truth(spark, d))
-    return ranking.truth_places(known, heavy_groups(known, "grp")).select("grp", "item", "place", "truth_rank", r6(F.col("gain")).alias("gain"))
+    return ranking.truth_places(known, ordering.has_heavy(known, "grp")).select("grp", "item", "place", "truth_rank", r6(F.col("gain")).alias("gain"))
 
 
 def e_prediction_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -116,16 +130,16 @@ def e_spearman(spark: SparkSession, d: str) -> DataFrame:
 def e_replacement(spark: SparkSession, d: str) -> DataFrame:
     flags = _flags(spark, d).filter("NOT unknown")
     known = cut(truth(spark, d))
-    return ranking.replacement(known, flags, heavy_groups(known, "grp")).select("grp", "item", "input_index")
+    return ranking.replacement(known, flags, ordering.has_heavy(known, "grp")).select("grp", "item", "input_index")
 
 
 def e_flags(spark: SparkSession, d: str) -> DataFrame:
     return _flags(spark, d)
 
 
-def _mode(mode: int):
+def _mode(mode: int, heavy: bool | None = None):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        out = _results(spark, d, mode)
+        out, _ = _results(spark, d, mode, heavy)
         return out.select("grp", "task", "status", "provided", "n", *[r6(F.col(m)).alias(m) for m in policy.METRICS], "illegal_in_budget", "duplicate_in_budget")
 
     return run
@@ -150,10 +164,10 @@ def e_best_sources(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        e_truth, e_truth_quality, e_placed, e_legal, e_groups_only, e_groups_both, e_nms, e_recall, e_ndcg, e_quality, e_average_rank, e_prediction_rank,
+        e_truth, e_truth_quality, e_placed, e_placed_large, e_legal, e_groups_only, e_groups_both, e_nms, e_recall, e_ndcg, e_quality, e_average_rank, e_prediction_rank,
         e_spearman, e_replacement, e_flags, e_summary, e_overall, e_best_sources,
     )
-} | {"e_mode1": _mode(1), "e_mode2": _mode(2)}
+} | {"e_mode1": _mode(1), "e_mode2": _mode(2), "e_mode1_large": _mode(1, True)}
 
 _HEADS = BASE + """,
 used AS (
@@ -221,6 +235,8 @@ SQL = {
       FROM (SELECT r.*, t.score AS b FROM truth_rows r LEFT JOIN truth t ON t.grp = r.grp AND t.item = r.item) GROUP BY 1""",
     "e_placed": BASE + """SELECT grp, count(*) AS n_rows, CAST(max(pos) AS INT) AS last_pos, CAST(sum(pos * (((input_index % 97) + 97) % 97)) AS BIGINT) AS order_sum FROM
       (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY order_value, input_index, item) AS pos FROM pred) GROUP BY 1""",
+    "e_placed_large": BASE + """SELECT grp, count(*) AS n_rows, CAST(max(pos) AS INT) AS last_pos, CAST(sum(pos * (((input_index % 97) + 97) % 97)) AS BIGINT) AS order_sum FROM
+      (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY order_value, input_index, item) AS pos FROM pred) GROUP BY 1""",
     "e_legal": _H + "SELECT grp, legal, first, count(*) AS n_rows, CAST(sum(pos) AS BIGINT) AS pos_sum FROM ranked GROUP BY 1, 2, 3",
     "e_groups_only": BASE + "SELECT grp, CASE WHEN missing THEN 'missing' ELSE 'unknown' END AS side FROM flags WHERE missing OR unknown",
     "e_groups_both": BASE + "SELECT grp FROM truth INTERSECT SELECT grp FROM pred",
@@ -234,6 +250,7 @@ SQL = {
     "e_replacement": BASE + _DRAWN + "SELECT grp, item, number AS input_index FROM drawn WHERE task <> 'T1' OR number <= k",
     "e_flags": BASE + "SELECT * FROM flags",
     "e_mode1": _MODE1 + _RESULT,
+    "e_mode1_large": _MODE1 + _RESULT,
     "e_mode2": _MODE2 + _RESULT,
     "e_summary": _SUMMARY + "SELECT * REPLACE (" + ", ".join(f"{sql_r6('mean_' + m)} AS mean_{m}" for m in [*policy.METRICS, "illegal_in_budget", "duplicate_in_budget"]) + ") FROM summ",
     "e_overall": _SUMMARY + f"SELECT count(mean_nms) AS n_tasks, {sql_r6('avg(mean_nms)')} AS average FROM summ",

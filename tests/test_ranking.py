@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.operators import policy, ranking
-from tallyweave.operators.ordering import heavy_groups, numbered
+from tallyweave.operators.ordering import has_heavy, numbered
 
 
 def _ranks(values):
@@ -60,7 +60,7 @@ def groups():
 def test_metrics(spark, groups, heavy_from):
     truth = spark.createDataFrame([(g, i, v) for g, (t, _) in groups.items() for i, v in t.items()], "grp string, item string, score double")
     preds = spark.createDataFrame([(g, *p) for g, (_, ps) in groups.items() for p in ps], "grp string, item string, order_value double, input_index bigint")
-    heavy = heavy_groups(preds, "grp", heavy_from) if heavy_from else None
+    heavy = bool(heavy_from) and has_heavy(preds, "grp", heavy_from)
     places = ranking.truth_places(truth, heavy)
     ranked = ranking.joined(places, preds, heavy)
     per = truth.select("grp").distinct().withColumn("k", F.lit(5))
@@ -113,6 +113,20 @@ def test_order_of_rows_does_not_matter(spark, groups):
 
 def test_numbering_by_ranges(spark):
     df = spark.range(5000).select(F.lit("g").alias("grp"), (F.col("id") % 13).cast("double").alias("v"), "id")
-    heavy = heavy_groups(df, "grp", 1000)
+    heavy = has_heavy(df, "grp", 1000)
     got = numbered(df, "grp", F.col("v"), [F.col("id")], "n", heavy).collect()
     assert [r["n"] for r in sorted(got, key=lambda r: (r["v"], r["id"]))] == list(range(1, 5001))
+
+
+def test_a_value_that_all_rows_share_is_spread(spark):
+    """Rows that tie in the number are cut into ranges by what breaks the tie."""
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        df = spark.range(6000).select(F.lit("g").alias("grp"), F.lit(1.0).alias("v"), "id").union(spark.createDataFrame([("h", None, 1), ("h", 2.0, 0)], "grp string, v double, id bigint"))
+        got = numbered(df, "grp", F.col("v"), [F.col("id")], "n", True)
+        rows = got.collect()
+        pieces = df.repartitionByRange(6, "grp", "v", "id").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert [r["n"] for r in sorted(rows, key=lambda r: r["id"]) if r["grp"] == "g"] == list(range(1, 6001))
+    assert sorted((r["n"], r["v"]) for r in rows if r["grp"] == "h") == [(1, None), (2, 2.0)] and max(r["count"] for r in pieces) < 2500
