@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import text
@@ -78,7 +78,30 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "documents"), table(spark, d, "token_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_records, p6_ids, p6_round_trip, p7_packed, p7_usage, p7_checked, p8_pieces)}
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per 'split' limit: pieces that aren't what the limit asks for, and documents that aren't covered by theirs.
+
+    A piece has to have max_tokens tokens at most, to be the stretch of the text it says, and to start overlap_tokens tokens before
+    the end of the piece before it; the first starts with the text's first token, the last ends with its last.
+    """
+    docs, limits = table(spark, d, "documents"), table(spark, d, "token_limits").filter("purpose = 'split'")
+    asked = limits.select("limit_name", "tokenizer", "max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("shared"))
+    pieces = cut(splitting.split(docs, limits))
+    names = sorted({r["tokenizer"] for r in asked.collect()})
+    sized = packing.sizes(docs, "doc_id", "text", "source", names).join(F.broadcast(asked), "tokenizer").filter(F.col("n_tokens") > F.col("max_tokens"))
+    own = Window.partitionBy("limit_name", "doc_id").orderBy("piece_no")
+    end = F.col("first_token") + F.col("n_tokens")
+    rows = pieces.withColumn("before", F.lag(end).over(own)).join(F.broadcast(asked), "limit_name").join(docs.select("doc_id", "text"), "doc_id")
+    same = F.substring("text", F.col("first_char") + 1, F.col("n_chars")) == F.col("piece")
+    right = (F.col("n_tokens") <= F.col("max_tokens")) & (F.col("n_tokens") > 0) & same & (F.coalesce(F.col("before") - F.col("shared"), F.lit(0)) == F.col("first_token"))
+    bad = rows.groupBy("limit_name").agg(F.count_if(~F.coalesce(right, F.lit(False))).alias("n_wrong_pieces"))
+    last = pieces.groupBy("limit_name", "doc_id").agg(F.max(end).alias("last"))
+    both = sized.select("limit_name", "doc_id", "n_tokens").join(last, ["limit_name", "doc_id"], "full_outer")
+    lost = both.groupBy("limit_name").agg(F.count_if(~F.coalesce(F.col("last") == F.col("n_tokens"), F.lit(False))).alias("n_uncovered"))
+    return asked.select("limit_name").join(bad, "limit_name", "left").join(lost, "limit_name", "left").na.fill(0)
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_records, p6_ids, p6_round_trip, p7_packed, p7_usage, p7_checked, p8_pieces, p8_checked)}
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(13)"
 _B = r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}\p{P}\p{S}]"
@@ -108,5 +131,6 @@ SQL = {
     "p5_records": _KEYED + "SELECT min(rec_id) AS keep_id, query_key, k AS normalized, count(*) AS n_copies FROM keyed GROUP BY query_key, k",
     "p7_checked": """SELECT limit_name, count(*) AS n_documents, CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS BIGINT) AS n_overfull, true AS mixed
       FROM documents, token_limits WHERE purpose = 'pack' AND text <> '' GROUP BY 1""",
+    "p8_checked": "SELECT limit_name, CAST(0 AS BIGINT) AS n_wrong_pieces, CAST(0 AS BIGINT) AS n_uncovered FROM token_limits WHERE purpose = 'split'",
     "p6_round_trip": "SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS n_changed FROM documents",
 }
