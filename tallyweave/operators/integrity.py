@@ -107,6 +107,55 @@ def component_rules(samples: DataFrame, substitutions: DataFrame, proteins: Data
     ])
 
 
+def one_sequence(variants: DataFrame) -> DataFrame:
+    """Variant keys of a context that stand for several sequences: (context_sha256, variant_key, sequence)."""
+    return one_value(variants, ["context_sha256", "variant_key"], ["sequence"], "variant_sequence")
+
+
+def structure_rules(manifest: DataFrame, required: DataFrame, found: DataFrame) -> DataFrame:
+    """A manifest of structures (context_sha256, path, structure_status, sequence_length, digest) against the contexts that need
+    one (context_sha256, sequence) and what the files hold (path, sequence, sound, digest)."""
+    met = required.join(manifest, "context_sha256").join(found.select("path", F.col("sequence").alias("_s"), F.col("digest").alias("_d"), "sound"), "path", "left")
+    tests = {
+        "structure_ready": F.col("structure_status") == "ready", "structure_length": F.col("sequence_length") == F.length("sequence"),
+        "structure_digest": F.col("digest") == F.col("_d"), "structure_sequence": F.col("sound") & (F.col("_s") == F.col("sequence")),
+    }
+    said = [holds(met, "context_sha256", t, r) for r, t in tests.items()]
+    return reduce(DataFrame.unionByName, [unique(manifest, ["context_sha256"], "structure_unique"), covers(required, manifest, ["context_sha256"], "structure_coverage"), *said])
+
+
+def weight_rules(weights: DataFrame, totals: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Weights of alignment records (context_sha256, weight) are positive and finite and add up to their context's ``neff``."""
+    sums = weights.groupBy("context_sha256").agg(F.sum("weight").alias("_w")).join(totals, "context_sha256", "full_outer")
+    good = finite(F.col("weight")) & (F.col("weight") > 0)
+    return holds(weights, "context_sha256", good, "weight_positive").unionByName(holds(sums, "context_sha256", F.abs(F.col("_w") - F.col("neff")) <= tolerance * F.col("neff"), "weight_sum"))
+
+
+def context_rules(contexts: DataFrame, needed: DataFrame) -> DataFrame:
+    """Prepared contexts (context_id, n_samples): unique, all that are needed (context_id, n_samples), each with its number."""
+    return unique(contexts, ["context_id"], "context_unique").unionByName(membership(needed, contexts, ["context_id"], "n_samples", "context_samples"))
+
+
+def released_rules(results: DataFrame, told: DataFrame, per_query: DataFrame, summaries: DataFrame, scores: list[str], metrics: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """A released run: its results, what its manifest tells of each task, its metrics by query, its summaries.
+
+    results: (sample_id, task, query_id, sample_role, status, scores); told: (task, samples, queries, metrics); per_query:
+    (task, assay); summaries: (task, missing, unknown, metrics). Samples are unique, evaluated ones, ok and finite; tasks, numbers of
+    samples and queries, and the queries themselves agree; no group is missing or unknown; metrics agree.
+    """
+    keyed = results.withColumn("_ok", (F.col("status") == "ok") & (F.col("sample_role") == "evaluation_candidate"))
+    sizes = results.groupBy("task").agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("query_id").alias("queries"))
+    pairs = results.select("task", F.col("query_id").alias("assay"))
+    both = told.select("task", *[F.col(m).alias(f"_{m}") for m in metrics]).join(summaries, "task")
+    close = reduce(lambda a, b: a & b, [F.abs(F.col(m) - F.col(f"_{m}")) <= tolerance for m in metrics])
+    return reduce(DataFrame.unionByName, [
+        unique(results, ["sample_id"], "released_unique"), holds(keyed, "sample_id", F.col("_ok"), "released_status"), finite_columns(results, "sample_id", scores, "released_finite"),
+        membership(told, sizes, ["task"], "samples", "released_samples"), membership(told, sizes, ["task"], "queries", "released_queries"), same_set(told.select("task"), summaries.select("task"), ["task"], "released_tasks"),
+        unique(per_query, ["task", "assay"], "released_metrics_unique"), same_set(pairs, per_query, ["task", "assay"], "released_metrics"),
+        holds(summaries, "task", (F.col("missing") == 0) & (F.col("unknown") == 0), "released_coverage"), holds(both, "task", close, "released_values"),
+    ])
+
+
 def require(violations: DataFrame, show: int = 10) -> None:
     """Raise IntegrityError naming some broken rules, if there are any."""
     some = violations.limit(show).collect()

@@ -64,13 +64,32 @@ def extracted_ranking(text: Column) -> Column:
     return run(text)
 
 
+def _greedy(text: str | None) -> list[str]:
+    bare = (text or "").strip()
+    if "```" in bare:
+        bare = re.sub(r"\A```(?:json)?", "", bare)
+        bare = re.sub(r"```\Z", "", bare).strip()
+    for part in (bare, bare[bare.find("{") : bare.rfind("}") + 1] if "{" in bare else ""):
+        try:
+            value = json.loads(part)
+        except (ValueError, RecursionError):
+            continue
+        ranking = value.get("ranking", []) if isinstance(value, dict) else []
+        return [w for w in (str(x).strip() for x in ranking) if w] if isinstance(ranking, (list, str, dict)) else []
+    return []
+
+
 def greedy_ranking(text: Column) -> Column:
-    """The ranking between the first and the last brace, fences dropped, blanks dropped, without leaving the JVM."""
-    bare = F.regexp_replace(F.regexp_replace(F.btrim(text, F.lit(" \t\r\n")), r"^```(?:json)?", ""), r"```\z", "")
-    first, last = F.instr(bare, "{"), F.length(bare) - F.instr(F.reverse(bare), "}") + 1
-    span = F.when((first > 0) & (last > first), F.substring(bare, first, last - first + 1))
-    found = F.from_json(span, "ranking array<string>")["ranking"]
-    return F.filter(F.transform(found, lambda x: F.btrim(F.coalesce(x, F.lit("None")), F.lit(" \t\r\n"))), lambda x: x != "")
+    """The ranking of a response that is JSON as a whole, fences dropped, or else from its first to its last brace.
+
+    Members are trimmed, blank ones dropped; an empty list where there is none. Runs on Arrow batches.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(_greedy)
+
+    return run(text)
 
 
 def long_ranking(df: DataFrame, key: str, ranking: str) -> DataFrame:
@@ -94,17 +113,19 @@ def closed_set(named: DataFrame, pool: DataFrame, key: str, group: str) -> DataF
 def generated(named: DataFrame, key: str, k: int) -> DataFrame:
     """Per response: how many free proposals are accepted until ``k`` are, and why others before that aren't.
 
-    ``named`` is (key, rank, mutant, wt); a mutant has to be one substitution on ``wt``. What stands after the k-th accepted
-    doesn't count.
+    ``named`` is (key, rank, mutant, wt) and may have ``measured``; a mutant has to be one substitution on ``wt``, and measured unless
+    that is null or absent, which says that nothing is known of it. What stands after the k-th accepted doesn't count.
     """
-    ok = mutation.legal(mutation.parts(F.col("mutant"), "[+:]"), F.col("wt")) & ~F.col("mutant").rlike("[+:]")
-    seen = F.min("rank").over(Window.partitionBy(key, "mutant"))
-    rows = named.withColumn("_ok", F.coalesce(ok, F.lit(False))).withColumn("_new", F.col("rank") == seen)
+    named = named if "measured" in named.columns else named.withColumn("measured", F.lit(None).cast("boolean"))
+    legal = mutation.legal(mutation.parts(F.col("mutant"), "[+:]"), F.col("wt")) & ~F.col("mutant").rlike("[+:]")
+    rows = named.withColumn("_legal", F.coalesce(legal, F.lit(False))).withColumn("_ok", F.col("_legal") & F.coalesce("measured", F.lit(True)))
+    rows = rows.withColumn("_new", F.col("rank") == F.min("rank").over(Window.partitionBy(key, "mutant")))
     taken = F.count_if(F.col("_ok") & F.col("_new")).over(Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_before", taken).filter(F.col("_before") < k)
     return rows.groupBy(key).agg(
-        F.count_if(F.col("_ok") & F.col("_new")).alias("accepted"), F.count_if(~F.col("_ok")).alias("invalid"), F.count_if(F.col("_ok") & ~F.col("_new")).alias("duplicate")
-    )
+        F.count_if(F.col("_ok") & F.col("_new")).alias("accepted"), F.count_if(~F.col("_legal")).alias("invalid"), F.count_if(F.col("_ok") & ~F.col("_new")).alias("duplicate"),
+        F.count_if(F.col("_legal") & ~F.col("_ok")).alias("not_measured"),
+    )
 
 
 def marks(text: Column, names: list[str]) -> dict[str, Column]:
@@ -118,6 +139,7 @@ def mentions(text: Column, pattern: str) -> Column:
 
 
 def numbered_lines(items: Column) -> Column:
+    """``1. first`` and so on, one a line."""
     return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
 
 
@@ -132,6 +154,28 @@ def filled(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*parts)
 
 
+def scored_lines(mutants: Column, scores: Column) -> Column:
+    """``mutant: score``, one a line."""
+    return F.array_join(F.transform(F.arrays_zip(mutants.alias("m"), scores.alias("s")), lambda x: F.concat(x["m"], F.lit(": "), x["s"])), "\n")
+
+
+#: What is asked of a model, by task. Doubled braces stand for braces.
+PROMPTS = {
+    "T1": 'Sequence: {wt}\nName up to {k} single substitutions, best first, as {{"ranking": [...]}}',
+    "T2": 'Sequence: {wt}\nReadout: {readout}\nOrder all candidates, best first, as {{"ranking": [...]}}\n{n} candidates follow, one a line.',
+    "T3": 'Sequence: {wt}\nReadout: {readout}\nMeasured: {anchor}\nOrder all candidates, best first, as {{"ranking": [...]}}\n{n} candidates follow, one a line.',
+    "T4": 'Sequence: {wt}\nReadout: {readout}\nSingle substitutions measured:\n{singles}\nOrder all candidates, best first, as {{"ranking": [...]}}\n{n} candidates follow, one a line.',
+}
+
+
+def prompted(task: Column, values: dict[str, Column]) -> Column:
+    """The prompt of each row's task, filled; null for a task without one."""
+    out = F.lit(None).cast("string")
+    for name, template in PROMPTS.items():
+        out = F.when(task == name, filled(template, values)).otherwise(out)
+    return out
+
+
 def written_predictions(rankings: DataFrame) -> DataFrame:
     """(assay, mutant, rank, model, response, usage_json) rows of (assay, ranking, model, usage_json); what describes the response stands on rank 1."""
     rows = rankings.select("assay", "model", "usage_json", F.to_json(F.struct(F.col("ranking"))).alias("response"), F.posexplode("ranking").alias("i", "mutant"))

@@ -131,11 +131,11 @@ def depths(rows: DataFrame, key: str, most_gaps: float = 0.5) -> DataFrame:
     )
 
 
-def column_profile(rows: DataFrame, key: str) -> DataFrame:
+def column_profile(rows: DataFrame, key: str, vocabulary: int = 33) -> DataFrame:
     """(key, column_no, token, n, frequency, log_value): frequencies of a column and the log-softmax *of the frequencies*.
 
-    The softmax runs over the 20 residues and the gap, tokens that don't occur included with frequency 0. Residues outside these
-    count under X, which has a place in the softmax of columns where it occurs.
+    The softmax runs over a vocabulary of ``vocabulary`` tokens, those that don't occur included with frequency 0. Residues
+    other than the 20 standard ones and the gap count under X.
     """
     used = rows.filter("fits")
     letters = used.select(key, F.posexplode(F.split("aligned", "")).alias("c", "token")).filter("token <> ''")
@@ -144,6 +144,5 @@ def column_profile(rows: DataFrame, key: str) -> DataFrame:
     column = Window.partitionBy(key, "c")
     freq = counts.withColumn("frequency", F.col("n") / F.sum("n").over(column))
     places = F.count(F.lit(1)).over(column)
-    extra = F.max((F.col("token") == "X").cast("int")).over(column)
-    total = F.sum(F.exp("frequency")).over(column) + (len(mutation.RESIDUES) + 1 + extra - places)
+    total = F.sum(F.exp("frequency")).over(column) + (F.lit(vocabulary) - places)
     return freq.select(key, (F.col("c") + 1).alias("column_no"), "token", "n", "frequency", (F.col("frequency") - F.ln(total)).alias("log_value"))

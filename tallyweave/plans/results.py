@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import mutation, text
-from tallyweave.operators import finalize, responses
+from tallyweave.operators import finalize, ranking, responses
 from tallyweave.plans.common import STRIP, r6, sql_r6
 from tallyweave.session import table
 
@@ -62,24 +62,37 @@ def r_rankings(spark: SparkSession, d: str) -> DataFrame:
     return responses.long_ranking(_responses(spark, d), "doc_id", "ranking")
 
 
+def _greedy(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").filter("source = 'llm_response'")
+    named = docs.select("doc_id", "source_assay", "task", F.posexplode(responses.greedy_ranking(F.col("text"))).alias("i", "mutant"))
+    return named.select("doc_id", "source_assay", "task", (F.col("i") + 1).alias("rank"), "mutant")
+
+
 def r_greedy(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("source = 'llm_response'").select("doc_id", responses.greedy_ranking(F.col("text")).alias("ranking"))
-    return responses.long_ranking(docs, "doc_id", "ranking")
+    return _greedy(spark, d).select("doc_id", "rank", "mutant")
+
+
+def _pool(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of each assay's queries of a task, with that group's name."""
+    asked = table(spark, d, "queries").select(F.col("query_id").alias("candidate_group_id"), F.concat_ws("|", "source_assay", "task").alias("grp"))
+    return table(spark, d, "candidates").join(asked, "candidate_group_id").select("grp", text.nonblank(F.col("mutant")).alias("mutant")).dropna()
 
 
 def r_closed_set(spark: SparkSession, d: str) -> DataFrame:
-    """Named mutants against all candidates of the response's assay."""
-    named = _responses(spark, d)
-    pool = table(spark, d, "candidates").join(table(spark, d, "queries").select(F.col("query_id").alias("candidate_group_id"), "source_assay"), "candidate_group_id")
-    pool = pool.select("source_assay", text.nonblank(F.col("mutant")).alias("mutant")).dropna()
-    rows = named.select("doc_id", "source_assay", F.posexplode("ranking").alias("i", "mutant")).select("doc_id", "source_assay", (F.col("i") + 1).alias("rank"), "mutant")
-    return responses.closed_set(rows, pool, "doc_id", "source_assay")
+    """Named mutants against the candidates of the queries that the response's assay has in its task."""
+    rows = _greedy(spark, d).select("doc_id", F.concat_ws("|", "source_assay", "task").alias("grp"), "rank", "mutant")
+    return responses.closed_set(rows, _pool(spark, d), "doc_id", "grp")
 
 
 def r_generated(spark: SparkSession, d: str) -> DataFrame:
+    """Free proposals; those of an assay and task with candidates have to be among them to count as measured."""
     wild = table(spark, d, "assays").select(F.col("assay_id").alias("source_assay"), mutation.flat_sequence(F.col("wildtype_sequence")).alias("wt"))
-    named = _responses(spark, d).select("doc_id", "source_assay", F.posexplode("ranking").alias("i", "mutant")).join(F.broadcast(wild), "source_assay", "left")
-    return responses.generated(named.select("doc_id", (F.col("i") + 1).alias("rank"), "mutant", "wt"), "doc_id", 5)
+    named = _greedy(spark, d).withColumn("grp", F.concat_ws("|", "source_assay", "task")).join(F.broadcast(wild), "source_assay", "left")
+    pool = _pool(spark, d).distinct()
+    groups = pool.select("grp").distinct().withColumn("known", F.lit(True))
+    named = named.join(groups, "grp", "left").join(pool.withColumn("there", F.lit(True)), ["grp", "mutant"], "left")
+    measured = F.when(F.col("known"), F.coalesce("there", F.lit(False)))
+    return responses.generated(named.select("doc_id", "rank", "mutant", "wt", measured.alias("measured")), "doc_id", 5)
 
 
 def r_marks(spark: SparkSession, d: str) -> DataFrame:
@@ -97,17 +110,24 @@ def r_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts of the queries of T3: wild type, anchor, and how many are asked for."""
+    """Heads of the prompts of all queries: wild type, what is measured, how many candidates there are."""
     a = table(spark, d, "assays").select(F.col("assay_id").alias("source_assay"), "wildtype_sequence", "anchor_mutant", "readout_subclass")
-    rows = table(spark, d, "queries").filter("task = 'T3'").join(F.broadcast(a), "source_assay")
+    pool = table(spark, d, "candidates").select(F.col("candidate_group_id").alias("query_id"), text.nonblank(F.col("mutant")).alias("m")).dropna()
+    lists = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, d, "queries").join(F.broadcast(a), "source_assay").join(lists, "query_id", "left")
     shown = F.coalesce(text.nonblank(F.col("readout_subclass")), F.lit("unknown"))
-    body = responses.filled('Readout {readout}.\nAnchor: {anchor}\nSequence: {wt}\nAnswer as {{"ranking": [...]}}', {"readout": shown, "anchor": F.col("anchor_mutant"), "wt": F.col("wildtype_sequence")})
-    return rows.select("query_id", F.md5(body).alias("digest"), F.length(body).alias("n_chars"))
+    values = {
+        "readout": shown, "anchor": F.col("anchor_mutant"), "wt": F.col("wildtype_sequence"), "k": ranking.top_k(F.col("task")), "n": F.coalesce("n", F.lit(0)),
+        "singles": responses.scored_lines(F.array(F.coalesce("anchor_mutant", F.lit("none"))), F.array(F.lit("1.0"))),
+    }
+    body = responses.prompted(F.col("task"), values)
+    return rows.select("task", "query_id", F.md5(body).alias("digest"), F.length(body).alias("n_chars"))
 
 
 def r_written(spark: SparkSession, d: str) -> DataFrame:
-    rows = _responses(spark, d).filter("size(ranking) > 0").select(F.col("source_assay").alias("assay"), "ranking", F.lit("m").alias("model"), F.concat(F.lit('{"doc":'), F.col("doc_id").cast("string"), F.lit("}")).alias("usage_json"))
-    return responses.written_predictions(rows).groupBy("assay", "rank").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("usage_json") != "").alias("n_described"))
+    docs = table(spark, d, "documents").filter("source = 'llm_response'")
+    rows = docs.select(F.col("source_assay").alias("assay"), responses.greedy_ranking(F.col("text")).alias("ranking"), F.lit("m").alias("model"), F.concat(F.lit('{"doc":'), F.col("doc_id").cast("string"), F.lit("}")).alias("usage_json"))
+    return responses.written_predictions(rows.filter("size(ranking) > 0")).groupBy("assay", "rank").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("usage_json") != "").alias("n_described"))
 
 
 def r_safe_names(spark: SparkSession, d: str) -> DataFrame:
@@ -129,6 +149,16 @@ summed AS (SELECT model_id, sample_id, {', '.join(f'min({c}) AS {c}' for c in fi
   FROM good WHERE nth = 1 AND {_FIN} GROUP BY 1, 2)
 """
 _KNOWN = "model_id IS NOT NULL AND sample_id IS NOT NULL"
+#: Responses that are JSON as a whole or from their first to their last brace.
+_GREEDY = r"""
+WITH t AS (SELECT doc_id, source_assay, task, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM documents WHERE source = 'llm_response'),
+bare AS (SELECT * REPLACE (CASE WHEN contains(x, '```') THEN regexp_replace(regexp_replace(regexp_replace(x, '^```(?:json)?', ''), '```$', ''), '^\s+|\s+$', '', 'g') ELSE x END AS x) FROM t),
+span AS (SELECT * EXCLUDE (x), CASE WHEN json_valid(x) THEN x WHEN strpos(x, '{') > 0 THEN substr(x, strpos(x, '{'), length(x) - strpos(reverse(x), '}') + 2 - strpos(x, '{')) END AS x FROM bare),
+found AS (SELECT doc_id, source_assay, task, list_filter(list_transform(CAST(json_extract(x, '$.ranking') AS JSON[]), lambda v: regexp_replace(json_extract_string(v, '$'), '^\s+|\s+$', '', 'g')), lambda v: v <> '') AS l
+  FROM span WHERE json_valid(x) AND json_type(x, '$.ranking') = 'ARRAY'),
+g AS (SELECT doc_id, source_assay, task, concat_ws('|', source_assay, task) AS grp, CAST(unnest(range(1, len(l) + 1)) AS INT) AS rank, unnest(l) AS mutant FROM found)
+"""
+_POOLS = f""", pool AS (SELECT DISTINCT concat_ws('|', source_assay, task) AS grp, trim(mutant, {STRIP}) AS mutant FROM candidates c JOIN queries q ON q.query_id = c.candidate_group_id WHERE trim(mutant, {STRIP}) <> '')"""
 _NAME_CLEAN = "regexp_replace(regexp_replace(regexp_replace(source_csv, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+', ''), '[._]+$', '')"
 
 SQL = {
@@ -151,8 +181,26 @@ SQL = {
     "r_redacted": rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(replace(replace(replace(text, 'ALGAV_S25', '[REDACTED]'), 'ALGAV_S2', '[REDACTED]'), 'timeout', '[REDACTED]'),
       '(?i)(api\s*key|api_key|authorization|bearer\s+token|access\s*token)(\s*[:=]\s*)(bearer\s+)?\S+', '\1\2[REDACTED]', 'g'), '\b(sk|sk-proj|sk-ant|xai)-[A-Za-z0-9._-]{{12,}}\b', '[REDACTED]', 'g')) AS digest
       FROM ({_LOGS})""",
-    "r_prompts": f"""SELECT query_id, md5(b) AS digest, CAST(length(b) AS INT) AS n_chars FROM (SELECT query_id, 'Readout ' || coalesce(nullif(trim(readout_subclass, {STRIP}), ''), 'unknown') || '.' || chr(10) || 'Anchor: ' || coalesce(anchor_mutant, '')
-      || chr(10) || 'Sequence: ' || coalesce(wildtype_sequence, '') || chr(10) || 'Answer as {{"ranking": [...]}}' AS b FROM queries q JOIN assays a ON a.assay_id = q.source_assay WHERE task = 'T3')""",
+    "r_prompts": f"""WITH c AS (SELECT candidate_group_id AS query_id, nullif(trim(mutant, {STRIP}), '') AS m FROM candidates),
+      l AS (SELECT query_id, count(*) AS n FROM c WHERE m IS NOT NULL AND query_id IS NOT NULL GROUP BY 1),
+      v AS (SELECT task, q.query_id, 'Sequence: ' || coalesce(wildtype_sequence, '') || chr(10) AS s, 'Readout: ' || coalesce(nullif(trim(readout_subclass, {STRIP}), ''), 'unknown') || chr(10) AS r, anchor_mutant AS a,
+        CAST(coalesce(n, 0) AS VARCHAR) || ' candidates follow, one a line.' AS c FROM queries q JOIN assays a ON a.assay_id = q.source_assay LEFT JOIN l ON l.query_id = q.query_id),
+      b AS (SELECT task, query_id, s || CASE task WHEN 'T1' THEN 'Name up to 40 single substitutions, best first, as {{"ranking": [...]}}' ELSE r || CASE task WHEN 'T3' THEN 'Measured: ' || coalesce(a, '') || chr(10)
+        WHEN 'T4' THEN 'Single substitutions measured:' || chr(10) || coalesce(a, 'none') || ': 1.0' || chr(10) ELSE '' END || 'Order all candidates, best first, as {{"ranking": [...]}}' || chr(10) || c END AS b FROM v)
+      SELECT task, query_id, md5(b) AS digest, CAST(length(b) AS INT) AS n_chars FROM b""",
+    "r_greedy": _GREEDY + "SELECT doc_id, rank, mutant FROM g",
+    "r_closed_set": _GREEDY + _POOLS + """, f AS (SELECT g.*, p.mutant IS NOT NULL AS legal, rank = min(rank) OVER (PARTITION BY doc_id, g.mutant) AS first FROM g LEFT JOIN pool p ON p.grp = g.grp AND p.mutant = g.mutant)
+      SELECT doc_id, grp, rank, mutant, CASE WHEN NOT legal THEN 'outside' WHEN first THEN 'kept' ELSE 'duplicate' END AS verdict,
+        CAST(CASE WHEN legal AND first THEN sum(CASE WHEN legal AND first THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY rank) END AS INT) AS new_rank FROM f""",
+    "r_generated": _GREEDY + _POOLS + f""", w AS (SELECT g.doc_id, g.rank, g.mutant, regexp_full_match(g.mutant, '[{mutation.RESIDUES}][0-9]+[{mutation.RESIDUES}]') AND g.mutant[1] <> g.mutant[-1]
+        AND coalesce(substr(replace(wildtype_sequence, ':', ''), TRY_CAST(g.mutant[2:-2] AS INT), 1) = g.mutant[1], false) AND TRY_CAST(g.mutant[2:-2] AS INT) >= 1 AS legal,
+        CASE WHEN g.grp IN (SELECT grp FROM pool) THEN p.mutant IS NOT NULL ELSE true END AS measured
+        FROM g LEFT JOIN assays a ON a.assay_id = g.source_assay LEFT JOIN pool p ON p.grp = g.grp AND p.mutant = g.mutant),
+      o AS (SELECT *, coalesce(legal, false) AS lg, coalesce(legal, false) AND measured AS ok, rank = min(rank) OVER (PARTITION BY doc_id, mutant) AS new FROM w),
+      b AS (SELECT *, coalesce(sum(CASE WHEN ok AND new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
+      SELECT doc_id, count(*) FILTER (WHERE ok AND new) AS accepted, count(*) FILTER (WHERE NOT lg) AS invalid, count(*) FILTER (WHERE ok AND NOT new) AS duplicate, count(*) FILTER (WHERE lg AND NOT ok) AS not_measured
+      FROM b WHERE before < 5 GROUP BY 1""",
+    "r_written": _GREEDY + "SELECT source_assay AS assay, rank, count(*) AS n_rows, count(*) FILTER (WHERE rank = 1) AS n_described FROM g GROUP BY 1, 2",
     "r_safe_names": f"""SELECT query_id, CASE WHEN length(c) <= 40 THEN c ELSE substr(c, 1, 29) || '_' || substr(sha1(source_csv), 1, 10) END AS name
       FROM (SELECT query_id, source_csv, CASE WHEN {_NAME_CLEAN} = '' THEN 'unknown' ELSE {_NAME_CLEAN} END AS c FROM queries)""",
 }

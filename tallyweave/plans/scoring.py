@@ -54,12 +54,12 @@ def x_shards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x_costs(spark: SparkSession, d: str) -> DataFrame:
-    """All cost formulas per context."""
+    """All cost formulas per context; the number of components stands for the size of an alignment."""
     s = contexts.statistics(_components(spark, d))
     n, p = F.col("length").cast("bigint"), F.col("n_positions")
     keys = contexts.variant_keys(_components(spark, d)).groupBy("context_sha256").agg(F.countDistinct("variant_key").alias("v"))
     w = F.least(n, F.lit(_WIDTH))
-    return s.join(keys, "context_sha256").select("context_sha256", (p * w).alias("by_position"), ((F.col("v") + 1) * windows.attention_cost(n, _WIDTH)).alias("by_variant"), (n * n + w * w).alias("by_structure"), (n * n).alias("by_surface"))
+    return s.join(keys, "context_sha256").select("context_sha256", (p * w).alias("by_position"), ((F.col("v") + 1) * windows.attention_cost(n, _WIDTH)).alias("by_variant"), (n * n + w * w).alias("by_structure"), (n * n).alias("by_surface"), (F.col("n_components") + w * w).alias("by_alignment"))
 
 
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +187,12 @@ SQL = {
       CAST(least(64, greatest(1, {_W * _W} // (least(n, {_W}) * least(n, {_W})))) AS INT) AS batch, CAST(((n + 2) // {_W}) * {_W * _W} + ((n + 2) % {_W}) * ((n + 2) % {_W}) AS BIGINT) AS cost FROM t""",
     "x_costs": _X + f""", v AS (SELECT context_sha256, count(DISTINCT variant_key) AS v FROM keys GROUP BY 1) SELECT context_sha256, n_positions * least(length, {_W}) AS by_position,
       (v + 1) * CAST(((length + 2) // {_W}) * {_W * _W} + ((length + 2) % {_W}) * ((length + 2) % {_W}) AS BIGINT) AS by_variant, CAST(length AS BIGINT) * length + least(length, {_W}) * least(length, {_W}) AS by_structure,
-      CAST(length AS BIGINT) * length AS by_surface FROM stats JOIN v USING (context_sha256)""",
+      CAST(length AS BIGINT) * length AS by_surface, n_components + least(length, {_W}) * least(length, {_W}) AS by_alignment FROM stats JOIN v USING (context_sha256)""",
+    "x_shards": _X.replace("WITH ", "WITH RECURSIVE ", 1) + f""", item AS (SELECT context_sha256 AS k, n_positions * least(length, {_W}) AS c, row_number() OVER (ORDER BY n_positions * least(length, {_W}) DESC, context_sha256) AS i FROM stats),
+      walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS k, CAST(NULL AS BIGINT) AS c, CAST(NULL AS INT) AS s, [CAST(0 AS HUGEINT) FOR x IN range(8)] AS loads
+        UNION ALL SELECT item.i, item.k, item.c, CAST(list_position(loads, list_min(loads)) - 1 AS INT), list_transform(range(1, 9), lambda x: loads[x] + CASE WHEN x = list_position(loads, list_min(loads)) THEN item.c ELSE 0 END)
+        FROM walk JOIN item ON item.i = walk.i + 1)
+      SELECT k AS context_sha256, c AS cost, s AS shard_id FROM walk WHERE k IS NOT NULL""",
     "s_log_softmax": f"""SELECT vec_id, CAST(unnest(range(0, len(embedding))) AS INT) AS token, {sql_r6('unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE) - lse))')} AS log_value, true AS ok
       FROM (SELECT vec_id, embedding, ln(list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE))))) AS lse FROM embeddings)""",
     "s_lookup": _X + f""", m AS (SELECT vec_id, list_transform(e, lambda x: CAST(x AS DOUBLE) - ln(list_sum(list_transform(e, lambda y: exp(CAST(y AS DOUBLE)))))) AS v FROM (SELECT vec_id, embedding AS e FROM embeddings)),
@@ -215,5 +220,5 @@ SQL = {
       c AS (SELECT doc_id, column_no, CASE WHEN regexp_full_match(t, '[ACDEFGHIKLMNPQRSTVWY-]') THEN t ELSE 'X' END AS token, count(*) AS n FROM l GROUP BY 1, 2, 3),
       f AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY doc_id, column_no) AS DOUBLE) AS frequency FROM c)
       SELECT doc_id, CAST(column_no AS INT) AS column_no, token, n, {sql_r6('frequency')} AS frequency, {sql_r6('''frequency - ln(sum(exp(frequency)) OVER (PARTITION BY doc_id, column_no)
-        + 21 + max(CASE WHEN token = 'X' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, column_no) - count(*) OVER (PARTITION BY doc_id, column_no))''')} AS log_value FROM f""",
+        + 33 - count(*) OVER (PARTITION BY doc_id, column_no))''')} AS log_value FROM f""",
 }

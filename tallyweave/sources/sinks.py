@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.session import cut
 from tallyweave.sources import storage
 
 
@@ -74,15 +75,10 @@ def summary_row(task: str, counts: dict, metrics: dict, quality: dict) -> dict:
     return {**head, **first, **metrics, **{k: v for k, v in quality.items() if k not in first}}
 
 
-def cache_append(df: DataFrame, folder: str, keys: list[str]) -> DataFrame:
-    """Append the rows whose keys a Parquet cache lacks; returns what was new. The first call makes the cache."""
+def cache_append(df: DataFrame, folder: str, keys: list[str]) -> int:
+    """Append the rows whose keys a Parquet cache lacks; returns how many were new. The first call makes the cache."""
     spark = df.sparkSession
-    try:
-        known = spark.read.parquet(folder).select(*keys)
-        new = df.join(known, keys, "left_anti")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        new = df
+    new = df.join(spark.read.parquet(folder).select(*keys), keys, "left_anti") if storage.exists(spark, folder) else df
+    new = cut(new)
     new.write.mode("append").parquet(folder)
-    return new
+    return new.count()

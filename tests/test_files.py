@@ -184,8 +184,13 @@ def test_sinks(spark, tmp_path):
     sinks.fasta(spark.createDataFrame([("h", "AC")], "header string, sequence string"), str(tmp_path / "f"))
     assert spark.read.text(str(tmp_path / "f")).count() == 2
     cache = str(tmp_path / "cache")
-    assert sinks.cache_append(df, cache, ["task"]).count() >= 0 and spark.read.parquet(cache).count() == 2
-    sinks.cache_append(df.unionByName(df.withColumn("task", F.lit("T3")).limit(1)), cache, ["task"])
+    assert sinks.cache_append(df, cache, ["task"]) == 2 and spark.read.parquet(cache).count() == 2
+    assert sinks.cache_append(df.unionByName(df.withColumn("task", F.lit("T3")).limit(1)), cache, ["task"]) == 1
+    for _ in range(2):
+        sinks.append_json(df, str(tmp_path / "audit"))
+    assert spark.read.json(str(tmp_path / "audit")).count() == 4
+    sinks.by_key_json(df, str(tmp_path / "keyed"), "task")
+    assert sorted(p.name for p in (tmp_path / "keyed").glob("task=*")) == ["task=T1", "task=T2"]
     assert spark.read.parquet(cache).count() == 3
 
 

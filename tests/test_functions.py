@@ -104,7 +104,9 @@ def test_closed_set_and_generation(spark):
     got = {r["rank"]: (r["verdict"], r["new_rank"]) for r in responses.closed_set(named, pool, "doc_id", "grp").collect()}
     assert got == {1: ("kept", 1), 2: ("outside", None), 3: ("duplicate", None), 4: ("kept", 2)}
     named = spark.createDataFrame([(1, i, m, "ACDE") for i, m in enumerate(["A1V", "A1V", "Z1V", "C2A", "D3A"], 1)], "doc_id int, rank int, mutant string, wt string")
-    assert tuple(responses.generated(named, "doc_id", 2).first()) == (1, 2, 1, 1)
+    assert tuple(responses.generated(named, "doc_id", 2).first()) == (1, 2, 1, 1, 0)
+    told = named.withColumn("measured", F.col("mutant") != "A1V")
+    assert tuple(responses.generated(told, "doc_id", 2).first()) == (1, 2, 1, 0, 2)
 
 
 def test_scorer_isolates_failures(spark):
