@@ -18,14 +18,18 @@ from tallyweave.llm import tokens
 
 #: Kinds of cuts: the end of a paragraph, a line, a sentence, a word; inside a word; inside a character.
 PARAGRAPH, LINE, SENTENCE, WORD, TOKEN, BYTE = 5, 4, 3, 2, 1, 0
-#: What ends a sentence, by itself (_WIDE) or before white space (_ENDS), what may close behind it, and white space, by character
-#: code; codes above the table are none of these. Straight quotes don't count as closing, as they open as well.
+#: What a character is, as bits: it ends a sentence before white space (_ENDS) or by itself (_WIDE), closes what an end stands in
+#: (_CLOSE), is white space, a line feed, a carriage return. Straight quotes don't count as closing, as they open as well. Codes
+#: above the table are none of these.
+_ENDS, _WIDE, _CLOSE, _BLANK, _FEED, _RETURN = (1 << k for k in range(6))
 _TABLE = 0xFF70
-_ENDS, _WIDE, _CLOSE, _BLANK = np.zeros((4, _TABLE + 1), bool)
-_ENDS[[ord(c) for c in ".!?。！？…"]] = True
-_WIDE[[ord(c) for c in "。！？"]] = True
-_CLOSE[[ord(c) for c in ")]’”〉》」』】〕〗〙〛）］｝｠｣"]] = True
-_BLANK[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
+_BITS = np.zeros(_TABLE + 1, np.uint8)
+_BITS[[ord(c) for c in ".!?。！？…"]] |= _ENDS
+_BITS[[ord(c) for c in "。！？"]] |= _WIDE
+_BITS[[ord(c) for c in ")]’”〉》」』】〕〗〙〛）］｝｠｣"]] |= _CLOSE
+_BITS[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] |= _BLANK
+_BITS[10] |= _FEED
+_BITS[13] |= _RETURN
 #: Characters of the texts that are cut together.
 _BLOCK = 300_000
 _OUT = "doc_id bigint, limit_name string, piece_no int, first_token int, n_tokens int, first_char int, n_chars int, cut_kind int, piece string"
@@ -71,23 +75,24 @@ def reached(successor: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def levels(chars: np.ndarray, before: np.ndarray, after: np.ndarray, whole: np.ndarray, opens: np.ndarray) -> np.ndarray:
     """Kind of each boundary between a token that ends at ``before`` and one that starts at ``after``; texts start at ``opens``."""
-    padded = np.r_[np.zeros(3, np.uint32), chars, np.zeros(1, np.uint32)]
-    code = np.minimum(padded, _TABLE)
-    blank, newline = _BLANK[code], padded == 10
-    lines = np.r_[0, np.cumsum(newline, dtype=np.int32)]
+    bits = np.zeros(len(chars) + 4, np.uint8)
+    bits[3:-1] = _BITS[np.minimum(chars, _TABLE)]
+    feeds = np.zeros(len(bits) + 1, np.int32)
+    np.cumsum(bits & _FEED != 0, out=feeds[1:])
     a, b = before + 2, after + 3
-    gap_lines = lines[b] - lines[a + 1]
-    ends_line = newline[a]
-    second = newline[a - 1] | ((padded[a - 1] == 13) & newline[a - 2])
-    apart = (b > a + 1) | blank[b]
-    level = np.where(apart | (blank[a] != blank[b]), np.int8(WORD), np.int8(TOKEN))
-    level[_ENDS[code[a]] & apart] = SENTENCE
-    wide = _WIDE[code]
+    left, right, prior = bits[a], bits[b], bits[a - 1]
+    gap_lines = feeds[b] - feeds[a + 1]
+    ends_line = left & _FEED != 0
+    second = (prior & _FEED != 0) | ((prior & _RETURN != 0) & (bits[a - 2] & _FEED != 0))
+    apart = (b > a + 1) | (right & _BLANK != 0)
+    level = np.where(apart | ((left ^ right) & _BLANK != 0), np.int8(WORD), np.int8(TOKEN))
+    level[(left & _ENDS != 0) & apart] = SENTENCE
+    wide = bits & _WIDE != 0
     if wide.any():
-        close = _CLOSE[code]
+        close = bits & _CLOSE != 0
         goes_on = wide | close
         close[opens + 3] = False  # what opens a text closes nothing before it
-        ended = wide[np.maximum.accumulate(np.where(close, 0, np.arange(len(code), dtype=np.int32)))]
+        ended = wide[np.maximum.accumulate(np.where(close, 0, np.arange(len(bits), dtype=np.int32)))]
         level[ended[a] & (apart | ~goes_on[b])] = SENTENCE
     level[(gap_lines == 1) | ends_line] = LINE
     level[(gap_lines > 1) | (ends_line & second)] = PARAGRAPH

@@ -46,7 +46,11 @@ _KIND[128:] = _BEYOND
 _KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
 _KIND[48:58] = _DIGIT
 _KIND[65:91] = _KIND[97:123] = _LETTER
-_WIDE_BLANKS = [c.encode() for c in _WS_CHARS if not c.isascii()]
+#: White space beyond ASCII has two or three bytes; which first bytes it has, and which code all of them make.
+_WIDE = [c.encode() for c in _WS_CHARS if not c.isascii()]
+_OPENS = np.zeros(256, bool)
+_OPENS[[b[0] for b in _WIDE]] = True
+_WIDE_CODES = np.array(sorted(int.from_bytes(b.ljust(3, b"\0"), "big") for b in _WIDE))
 
 
 class _Numbers(dict):
@@ -156,11 +160,13 @@ class Stretches:
         data = np.frombuffer(raw, np.uint8)
         kind = _KIND[data]
         if not raw.isascii():
-            for blank in _WIDE_BLANKS:
-                at = raw.find(blank)
-                while at >= 0:
-                    kind[at : at + len(blank)] = _SPACE
-                    at = raw.find(blank, at + len(blank))
+            first = np.flatnonzero(_OPENS[data])
+            near = np.frombuffer(raw + b"\0\0", np.uint8)
+            third = np.where(near[first] >= 0xE0, near[first + 2], 0)
+            code = near[first].astype(np.int32) << 16 | near[first + 1].astype(np.int32) << 8 | third
+            found = first[np.isin(code, _WIDE_CODES)]
+            kind[found] = kind[found + 1] = _SPACE
+            kind[found[data[found] >= 0xE0] + 2] = _SPACE
         space = kind == _SPACE
         begins = np.zeros(len(data) + 1, bool)
         begins[1:-1] = space[1:] & ~space[:-1]
@@ -450,20 +456,22 @@ class WordEncoder(Tabled):
 
     def _covered(self, bare: str) -> list[int]:
         found = self.model.encode(bare, add_special_tokens=False).offsets
-        ends = [e for _, e in found]
-        out, at = [], 0
-        for i, e in enumerate(ends):
-            e = len(bare) if i + 1 == len(ends) else at if found[i + 1][0] < e else e
-            out.append(e - at)
-            at = e
-        return out
+        if not found:
+            return []
+        start, end = np.fromiter(chain.from_iterable(found), np.int64, 2 * len(found)).reshape(-1, 2).T
+        # a token that shares a character with the next one ends where the one before it does
+        ends = np.maximum.accumulate(np.where(np.append(start[1:], len(bare)) < end, 0, end))
+        ends[-1] = len(bare)
+        return np.diff(ends, prepend=0).tolist()
 
     def _stretches(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         bares = [p.lstrip(_WS_CHARS) for p in parts]
         plain = [b.isascii() for b in bares]
         size = self.sizes.tolist()
-        words = [b for b, p in zip(bares, plain) if p and b and not b.isdigit()]
-        found = iter(self.model.encode_batch_fast(words, add_special_tokens=False) if words else [])
+        # the same word behind other white space is read once
+        words = list({b.lower(): None for b, p in zip(bares, plain) if p and b and not b.isdigit()})
+        found = self.model.encode_batch_fast(words, add_special_tokens=False) if words else []
+        known = {w: [size[i] for i in f.ids] for w, f in zip(words, found)}
         out, counts = array("i"), array("q")
         for part, bare, ascii_only in zip(parts, bares, plain):
             if not bare:
@@ -473,7 +481,7 @@ class WordEncoder(Tabled):
             elif bare.isdigit():
                 run = [1] * len(bare)
             else:
-                run = [size[i] for i in next(found).ids]
+                run = known[bare.lower()]
             out.append(len(part) - sum(run))
             out.extend(run)
             counts.append(1 + len(run))
