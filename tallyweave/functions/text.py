@@ -41,6 +41,11 @@ def python_strip(column: Column) -> Column:
     return F.btrim(column, F.lit(WHITE))
 
 
+def python_nonblank(column: Column) -> Column:
+    """The text without white space of any script at its ends, null where nothing is left."""
+    return F.nullif(python_strip(column), F.lit(""))
+
+
 def python_float(column: Column) -> Column:
     """As a lenient float parser reads it: any white space around, single underscores between digits; null unless finite."""
     text = python_strip(column)

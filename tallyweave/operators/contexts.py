@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.operators import canonical
+from tallyweave.session import cut
 
 
 def chains(proteins: DataFrame) -> DataFrame:
@@ -29,14 +30,18 @@ def components(sampled: DataFrame, proteins: DataFrame) -> DataFrame:
 
 
 def statistics(comps: DataFrame) -> DataFrame:
-    """Per context: distinct samples, components, distinct positions and their sorted list (at most a chain's length)."""
+    """Per context: distinct samples, components, distinct positions and their sorted list (at most a chain's length).
+
+    Components are worked out once and written narrow, as they are counted in two ways.
+    """
+    slim = cut(comps.select("context_sha256", F.length("chain").alias("length"), "chain_position", "sample_id"))
     # by position first: the final arrays are built from distinct positions only
-    by_pos = comps.groupBy("context_sha256", "chain", "chain_position").agg(F.count(F.lit(1)).alias("n"))
-    by_sample = comps.groupBy("context_sha256", "sample_id").agg(F.lit(1).alias("one")).groupBy("context_sha256").agg(F.count(F.lit(1)).alias("n_samples"))
-    out = by_pos.groupBy("context_sha256", "chain").agg(
+    by_pos = slim.groupBy("context_sha256", "length", "chain_position").agg(F.count(F.lit(1)).alias("n"))
+    by_sample = slim.groupBy("context_sha256", "sample_id").agg(F.lit(1).alias("one")).groupBy("context_sha256").agg(F.count(F.lit(1)).alias("n_samples"))
+    out = by_pos.groupBy("context_sha256", "length").agg(
         F.sum("n").alias("n_components"), F.count(F.lit(1)).alias("n_positions"), F.array_sort(F.collect_list("chain_position")).alias("positions")
     )
-    return out.join(by_sample, "context_sha256").withColumn("length", F.length("chain")).drop("chain")
+    return out.join(by_sample, "context_sha256")
 
 
 def variant_keys(comps: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from tallyweave.functions import arrays, mutation, windows
 from tallyweave.operators import canonical, contexts, scoring
 from tallyweave.plans.common import r6, sql_r6
 from tallyweave.plans.preparation import _MUTATED, _POOL, _SUBS, _samples
-from tallyweave.session import finite, table
+from tallyweave.session import cut, finite, table
 
 _WIDTH = 100
 
@@ -55,9 +55,10 @@ def x_shards(spark: SparkSession, d: str) -> DataFrame:
 
 def x_costs(spark: SparkSession, d: str) -> DataFrame:
     """All cost formulas per context; the number of components stands for the size of an alignment."""
-    s = contexts.statistics(_components(spark, d))
+    comps = cut(_components(spark, d))
+    s = contexts.statistics(comps)
     n, p = F.col("length").cast("bigint"), F.col("n_positions")
-    keys = contexts.variant_keys(_components(spark, d)).groupBy("context_sha256").agg(F.countDistinct("variant_key").alias("v"))
+    keys = contexts.variant_keys(comps).groupBy("context_sha256").agg(F.countDistinct("variant_key").alias("v"))
     w = F.least(n, F.lit(_WIDTH))
     return s.join(keys, "context_sha256").select("context_sha256", (p * w).alias("by_position"), ((F.col("v") + 1) * windows.attention_cost(n, _WIDTH)).alias("by_variant"), (n * n + w * w).alias("by_structure"), (n * n).alias("by_surface"), (F.col("n_components") + w * w).alias("by_alignment"))
 

@@ -155,8 +155,8 @@ def truth(spark: SparkSession, folder: str | Path, task: str, item: str = "mutan
             raise SourceError(f"{members[0]}: no column {sorted(lacking)}")
     wanted = [item, "DMS_score", "candidate_group_id"]
     rows = cut(read_csv(spark, files, wanted, index=False))
-    own = text.nonblank(F.col("candidate_group_id")) if "candidate_group_id" in rows.columns and task in NESTED else F.lit(None).cast("string")
-    valid = text.nonblank(F.col(item)).isNotNull() & text.python_float(F.col("DMS_score")).isNotNull()
+    own = text.python_nonblank(F.col("candidate_group_id")) if "candidate_group_id" in rows.columns and task in NESTED else F.lit(None).cast("string")
+    valid = text.python_nonblank(F.col(item)).isNotNull() & text.python_float(F.col("DMS_score")).isNotNull()
     # one row a file
     told = rows.groupBy("path").agg(F.min(own).alias("grp"), F.max(own).alias("last"), F.count_if(valid).alias("n_valid"))
     fallback = F.concat(F.element_at(F.split("path", "/"), -2), F.lit(f"_{task}")) if task in NESTED else stem(F.col("path"))
@@ -175,7 +175,7 @@ def truth(spark: SparkSession, folder: str | Path, task: str, item: str = "mutan
 
 def typed_truth(rows: DataFrame) -> DataFrame:
     """(grp, item, score) with blank items and non-finite scores as null."""
-    return rows.select("grp", text.nonblank(F.col("item")).alias("item"), text.python_float(F.col("score")).alias("score"))
+    return rows.select("grp", text.python_nonblank(F.col("item")).alias("item"), text.python_float(F.col("score")).alias("score"))
 
 
 def predictions(spark: SparkSession, place: str | Path, task: str, group: str | None = None, item: str | None = None, score: str = "score", rank: str = "rank") -> DataFrame:
@@ -197,13 +197,13 @@ def predictions(spark: SparkSession, place: str | Path, task: str, group: str |
         if i is None or (g is None and not folder):
             raise SourceError(f"{members[0]}: no {'item' if i is None else 'group'} column")
         rows = read_group(spark, list(names), members, index=True)
-        grp = text.group_id(F.col(g)) if g else F.lit(None).cast("string")
+        grp = text.group_id(text.python_strip(F.col(g))) if g else F.lit(None).cast("string")
         if folder:
             deep = F.element_at(F.split("path", "/"), -2) != F.lit(top)
             forced = deep | F.lit(task == "T2" and group is None) & F.endswith(stem(F.col("path")), F.lit("_random_multi")) | F.lit(g is None)
             default = text.group_id(F.when(deep, path_group(F.col("path"), task, True)).otherwise(stem(F.col("path"))))
             grp = F.when(forced, default).otherwise(grp)
-        rows = rows.withColumn("_g", grp).withColumn("_m", text.nonblank(F.col(i))).filter("_g IS NOT NULL AND _m IS NOT NULL")
+        rows = rows.withColumn("_g", grp).withColumn("_m", text.python_nonblank(F.col(i))).filter("_g IS NOT NULL AND _m IS NOT NULL")
         column = score if score in names else rank if rank in names else None
         if column:
             value = text.python_float(F.col(column))
@@ -231,21 +231,21 @@ def top_k(task: str, asked: int | None = None) -> int:
 def assays(spark: SparkSession, path: str | Path) -> DataFrame:
     """Assays of a list file: the last row of a repeated id counts; blank descriptions read ``unknown``; blank ids go."""
     rows = read_csv(spark, [path])
-    known = rows.filter(text.nonblank(F.col("assay_id")).isNotNull())
+    known = rows.filter(text.python_nonblank(F.col("assay_id")).isNotNull())
     rest = [c for c in rows.columns if c not in ("assay_id", "path", "input_index")]
-    last = known.groupBy(text.strip(F.col("assay_id")).alias("assay_id")).agg(F.max_by(F.struct(*rest), "input_index").alias("r")).select("assay_id", "r.*")
-    filled = [F.coalesce(text.nonblank(F.col(c)), F.lit("unknown")).alias(c) if c in ("primary_task_class", "fitness_type", "readout_subclass") else F.col(c) for c in rest]
+    last = known.groupBy(text.python_strip(F.col("assay_id")).alias("assay_id")).agg(F.max_by(F.struct(*rest), "input_index").alias("r")).select("assay_id", "r.*")
+    filled = [F.coalesce(text.python_nonblank(F.col(c)), F.lit("unknown")).alias(c) if c in ("primary_task_class", "fitness_type", "readout_subclass") else F.col(c) for c in rest]
     return last.select("assay_id", *filled)
 
 
 def first_filled(columns: list[str], otherwise: str = "unknown") -> Column:
     """The first of some columns that isn't blank, stripped."""
-    return F.coalesce(*[text.nonblank(F.col(c)) for c in columns], F.lit(otherwise))
+    return F.coalesce(*[text.python_nonblank(F.col(c)) for c in columns], F.lit(otherwise))
 
 
 def candidates(spark: SparkSession, path: str | Path) -> DataFrame:
     """Non-blank mutants of a candidate list in file order; a list without any is refused."""
-    rows = read_csv(spark, [path]).select("input_index", text.nonblank(F.col("mutant")).alias("mutant")).dropna()
+    rows = read_csv(spark, [path]).select("input_index", text.python_nonblank(F.col("mutant")).alias("mutant")).dropna()
     if rows.isEmpty():
         raise SourceError(f"{path}: no candidates")
     return rows.orderBy("input_index")
@@ -257,7 +257,7 @@ def candidate_index(files: DataFrame, records: DataFrame, path: str = "path", li
     A file that no record names keeps nulls.
     """
     form = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(c), "^file:/+", "/"), r"/\.(?=/|\z)", ""), "(?<=.)//+", "/")
-    known = records.filter(text.nonblank(F.col(listed)).isNotNull()).groupBy(form(listed).alias("_p")).agg(F.min("assay_id").alias("assay_id"))
+    known = records.filter(text.python_nonblank(F.col(listed)).isNotNull()).groupBy(form(listed).alias("_p")).agg(F.min("assay_id").alias("assay_id"))
     return files.withColumn("_p", form(path)).join(known, "_p", "left").drop("_p")
 
 
@@ -268,7 +268,7 @@ def visible_context(spark: SparkSession, path: str | Path) -> DataFrame:
     if column is None:
         raise SourceError(f"{path}: no score column")
     rows = read_csv(spark, [path], index=False)
-    return rows.select(text.nonblank(F.col("mutant")).alias("mutant"), text.python_float(F.col(column)).alias("visible_score")).dropna()
+    return rows.select(text.python_nonblank(F.col("mutant")).alias("mutant"), text.python_float(F.col(column)).alias("visible_score")).dropna()
 
 
 def windowed(df: DataFrame, order: list, start: int = 0, most: int | None = None) -> DataFrame:
@@ -300,10 +300,10 @@ def group_files(spark: SparkSession, folder: str | Path, task: str, records: Dat
     chosen = windowed(records, ["assay_no"], assays_from, most_assays).select(F.col("assay_id").alias("source_assay"), "assay_no")
     rows = cut(rows.withColumn("source_assay", assay).join(F.broadcast(chosen) if most_assays else chosen, "source_assay"))
     # the first row of a file that has a value has the value, an alias before the next one
-    first = lambda c: F.min_by(text.nonblank(F.col(c)), F.when(text.nonblank(F.col(c)).isNotNull(), F.col("input_index")))
-    own = text.nonblank(F.col("candidate_group_id"))
+    first = lambda c: F.min_by(text.python_nonblank(F.col(c)), F.when(text.python_nonblank(F.col(c)).isNotNull(), F.col("input_index")))
+    own = text.python_nonblank(F.col("candidate_group_id"))
     told = rows.groupBy("path", "source_assay", "assay_no").agg(
-        F.min(own).alias("grp"), F.max(own).alias("last"), first("candidate_group_id").alias("first_grp"), F.count_if(text.nonblank(F.col("mutant")).isNotNull()).alias("n_items"),
+        F.min(own).alias("grp"), F.max(own).alias("last"), first("candidate_group_id").alias("first_grp"), F.count_if(text.python_nonblank(F.col("mutant")).isNotNull()).alias("n_items"),
         first("anchor_mutant").alias("anchor_mutant"), F.coalesce(*[first(c) for c in ANCHOR_SCORES]).alias("anchor_score"), first("single_mutant_context_path").alias("context_path"),
     )
     told = windowed(told, ["assay_no", "path"], groups_from, most_groups)
@@ -321,7 +321,7 @@ def group_files(spark: SparkSession, folder: str | Path, task: str, records: Dat
     up = plain_path(PurePosixPath(str(folder)).parent)
     place = F.coalesce(F.concat(F.lit(f"{up}/"), F.col("context_path")), beside) if task == "T4" else F.lit(None).cast("string")
     groups = told.select("path", "source_assay", "grp", "anchor_mutant", "anchor_score", place.alias("context_path"))
-    items = rows.join(told.select("path"), "path", "left_semi").select("path", "input_index", text.nonblank(F.col("mutant")).alias("item")).dropna()
+    items = rows.join(told.select("path"), "path", "left_semi").select("path", "input_index", text.python_nonblank(F.col("mutant")).alias("item")).dropna()
     return groups, items
 
 
@@ -379,7 +379,7 @@ def context_index(paths: DataFrame, sequences: DataFrame) -> DataFrame:
 
 def thetas(spark: SparkSession, path: str | Path, key: str, value: str = "theta") -> DataFrame:
     """(key, value) of a table of thresholds: keys once each, values inside (0, 1), else refused."""
-    rows = read_csv(spark, [path], index=False).select(text.nonblank(F.col(key)).alias(key), text.python_float(F.col(value)).alias(value))
+    rows = read_csv(spark, [path], index=False).select(text.python_nonblank(F.col(key)).alias(key), text.python_float(F.col(value)).alias(value))
     rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
     bad = rows.filter(F.col(key).isNull() | (F.col("n") > 1) | ~F.coalesce((F.col(value) > 0) & (F.col(value) < 1), F.lit(False))).first()
     if bad:
