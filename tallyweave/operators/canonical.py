@@ -39,8 +39,15 @@ def _named(candidates: DataFrame, *more: Column) -> DataFrame:
     return named.dropna(subset=["query_id", "mutant"])
 
 
+def described(rows: DataFrame) -> DataFrame:
+    """Add what follows from wildtype_sequence alone, where it isn't there yet: flat_wt, bounds of its chains, sequence_sha256."""
+    made = {"flat_wt": mutation.flat_sequence(F.col("wildtype_sequence")), "bounds": mutation.chain_bounds(F.col("wildtype_sequence")), "sequence_sha256": F.sha2("wildtype_sequence", 256)}
+    return rows.withColumns({k: v for k, v in made.items() if k not in rows.columns})
+
+
 def _seated(rows: DataFrame, queries: DataFrame, assays: DataFrame) -> DataFrame:
-    wild = assays.select(F.col("assay_id").alias("source_assay"), F.upper(text.strip(F.col("wildtype_sequence"))).alias("wildtype_sequence"))
+    # worked out for each assay, not for each of its candidates
+    wild = described(assays.select(F.col("assay_id").alias("source_assay"), F.upper(text.strip(F.col("wildtype_sequence"))).alias("wildtype_sequence")))
     return rows.join(queries.select("task", "query_id", "source_assay"), "query_id").join(F.broadcast(wild), "source_assay")
 
 
@@ -57,20 +64,19 @@ def distinct_pool(candidates: DataFrame, queries: DataFrame, assays: DataFrame)
 
 def parsed(rows: DataFrame) -> DataFrame:
     """Add flat wild type, ordered components (null where the mutant is illegal) and the mutated sequence."""
-    flat = mutation.flat_sequence(F.col("wildtype_sequence"))
     found = mutation.parts(F.col("mutant"))
-    out = rows.withColumn("flat_wt", flat).withColumn("components", F.when(mutation.legal(found, flat), mutation.ordered(found)))
-    return out.withColumn("mutated_sequence", mutation.rechained(mutation.applied(F.col("flat_wt"), F.col("components")), mutation.chain_bounds(F.col("wildtype_sequence"))))
+    out = described(rows).withColumn("components", F.when(mutation.legal(found, F.col("flat_wt")), mutation.ordered(found)))
+    return out.withColumn("mutated_sequence", mutation.rechained(mutation.applied(F.col("flat_wt"), F.col("components")), F.col("bounds")))
 
 
 def samples(rows: DataFrame, dataset: str, role: str = EVALUATION) -> DataFrame:
     """One sample for each legal row of parsed rows, which have to be distinct in (task, query, mutant)."""
     legal = rows.filter(F.col("components").isNotNull())
-    digest = F.sha2("wildtype_sequence", 256)
+    digest = F.col("sequence_sha256")
     return legal.select(
         sample_id(F.lit(dataset), F.col("task"), F.col("query_id"), F.lit(role), F.col("mutant")).alias("sample_id"),
         "task", "query_id", "source_assay", F.lit(role).alias("sample_role"), "mutant", mutation.notation(F.col("components")).alias("model_mutant"),
-        F.size("components").alias("mutation_count"), F.substring(digest, 1, 16).alias("wt_id"), digest.alias("sequence_sha256"), "mutated_sequence", "components", "wildtype_sequence",
+        F.size("components").alias("mutation_count"), F.substring(digest, 1, 16).alias("wt_id"), digest, "mutated_sequence", "components", "wildtype_sequence", "bounds",
     )
 
 
@@ -79,8 +85,7 @@ def substitutions(sampled: DataFrame, keep: list[str] | None = None) -> DataFram
 
     ``keep`` names columns of the sample that its components carry along.
     """
-    bounds = mutation.chain_bounds(F.col("wildtype_sequence"))
-    rows = sampled.select("sample_id", *(keep or []), bounds.alias("bounds"), F.posexplode("components").alias("i", "c"))
+    rows = described(sampled).select("sample_id", *(keep or []), "bounds", F.posexplode("components").alias("i", "c"))
     home = F.filter("bounds", lambda b: (b["start"] <= F.col("c.pos")) & (F.col("c.pos") <= b["end"]))[0]
     return rows.withColumn("home", home).select(
         "sample_id", *(keep or []), (F.col("i") + 1).alias("component_index"), F.col("home.chain_id").alias("chain_id"),

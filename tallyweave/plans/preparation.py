@@ -36,7 +36,7 @@ def c_parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c_samples(spark: SparkSession, d: str) -> DataFrame:
-    return _samples(spark, d).drop("components", "wildtype_sequence")
+    return _samples(spark, d).drop("components", "wildtype_sequence", "bounds")
 
 
 def c_substitutions(spark: SparkSession, d: str) -> DataFrame:

@@ -16,7 +16,7 @@ def _tables(spark, **change):
     sampled = canonical.samples(canonical.parsed(canonical.distinct_pool(pool, queries, assays)), "d")
     anchors = canonical.provided_context(queries, assays)
     shown = canonical.samples(canonical.parsed(anchors.join(assays.select(F.col("assay_id").alias("source_assay"), "wildtype_sequence"), "source_assay")), "d", canonical.ANCHOR)
-    plain = lambda df: df.drop("components", "wildtype_sequence")
+    plain = lambda df: df.drop("components", "wildtype_sequence", "bounds")
     return {
         "proteins": canonical.proteins(assays), "samples": plain(sampled), "substitution_components": canonical.substitutions(sampled), "queries": queries.withColumn("expected_samples", F.lit(2)),
         "context_samples": plain(shown), "context_substitution_components": canonical.substitutions(shown), "provided_context_rows": anchors, "msa_contexts": canonical.msa_contexts(assays),
@@ -50,7 +50,7 @@ def test_dataset_round_trip_and_what_is_refused(spark, tmp_path):
 @pytest.mark.parametrize("name, change, why", [
     ("queries", lambda s, c: s.select("task", "query_id", "source_assay", F.lit(3).alias("expected_samples")).distinct(), "query_size"),
     ("msa_contexts", lambda s, c: s.select(F.lit("x").alias("context_sha256"), F.lit(1).alias("sequence_length")).limit(1), "msa_coverage"),
-    ("context_samples", lambda s, c: s.drop("components", "wildtype_sequence"), "roles_disjoint"),
+    ("context_samples", lambda s, c: s.drop("components", "wildtype_sequence", "bounds"), "roles_disjoint"),
 ])
 def test_dataset_rules(spark, name, change, why):
     assert why in {r["rule"] for r in dataset.rules(_tables(spark, **{name: change})).collect()}
