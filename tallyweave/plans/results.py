@@ -14,7 +14,7 @@ _SHARDS = 32
 #: What a log may tell; the words are invented.
 _TOLD = [
     "Authorization: Bearer abc.def-123", "API key = k12345 left", "using sk-proj-abcdefghijklmnop now", "token xai-AB.cd_ef-0123456789.", "access token:zzz bearer token = Bearer y1",
-    "OPENAI_API_KEY=abc", "authorization : none", "sk-short stays", "apikey:a api_key=b",
+    "MODEL_API_KEY=abc", "authorization : none", "sk-short stays", "apikey:a api_key=b",
 ]
 
 
