@@ -38,6 +38,14 @@ def fasta(df: DataFrame, folder: str, header: str = "header", sequence: str = "s
     df.select(F.concat(F.lit(">"), F.col(header), F.lit("\n"), F.col(sequence)).alias("value")).write.mode("errorifexists").text(folder)
 
 
+def one_fasta(df: DataFrame, path: str | Path, header: str = "header", sequence: str = "sequence", most: int = 100_000) -> None:
+    """A small set of records as one FASTA file, in order of header, that appears whole or not at all; beyond ``most`` it is refused."""
+    rows = df.select(header, sequence).orderBy(header).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} records: write a folder")
+    storage.write_text(df.sparkSession, path, "".join(f">{r[0]}\n{r[1]}\n" for r in rows))
+
+
 def append_json(df: DataFrame, folder: str) -> None:
     """Rows as JSON lines behind what the log has."""
     df.write.mode("append").json(folder)

@@ -183,6 +183,11 @@ def test_sinks(spark, tmp_path):
     assert list(json.loads((tmp_path / "o.json").read_text())) == ["n", "task", "x"]
     sinks.fasta(spark.createDataFrame([("h", "AC")], "header string, sequence string"), str(tmp_path / "f"))
     assert spark.read.text(str(tmp_path / "f")).count() == 2
+    sinks.one_fasta(spark.createDataFrame([("i", "D"), ("h", "AC")], "header string, sequence string"), tmp_path / "f.fasta")
+    assert (tmp_path / "f.fasta").read_text() == ">h\nAC\n>i\nD\n"
+    # an empty result still has its header, and a file that is there is replaced as a whole
+    sinks.one_csv(df.limit(0), tmp_path / "o.csv")
+    assert (tmp_path / "o.csv").read_text() == "task,n,x\n" and not [p for p in tmp_path.iterdir() if p.name.startswith(".o.csv.") and not p.name.endswith(".crc")]
     cache = str(tmp_path / "cache")
     assert sinks.cache_append(df, cache, ["task"]) == 2 and spark.read.parquet(cache).count() == 2
     assert sinks.cache_append(df.unionByName(df.withColumn("task", F.lit("T3")).limit(1)), cache, ["task"]) == 1
