@@ -138,6 +138,21 @@ def test_top_items(spark, heavy_from):
     assert set(got) == {"hot", "a", "b"} and topn.top_items(df.limit(0), "g", "m", ["v"], 5).count() == 0
 
 
+def test_top_items_with_nulls_in_the_order(spark):
+    """Nulls come first in every order column; an item stands where its best row stands."""
+    rng = random.Random(6)
+    rows = [("g", f"m{rng.randrange(12)}", rng.choice([None, 1.0, 2.0, -1.0]), rng.choice([None, 0, 1, 2])) for _ in range(60)]
+    key = lambda v, i: ((v is not None, v or 0.0), (i is not None, i or 0))
+    best = {}
+    for _, m, v, i in rows:
+        best[m] = min(best.get(m, key(9.0, 9)), key(v, i))
+    want = sorted(best, key=lambda m: (*best[m], m))[:6]
+    df = spark.createDataFrame(rows, "g string, m string, v double, i int")
+    for heavy_from in (3, 10**9):
+        got = {r["pos"]: r["m"] for r in topn.top_items(df, "g", "m", ["v", "i"], 6, heavy_from).collect()}
+        assert [got[p] for p in range(1, 7)] == want
+
+
 RECORDS = [
     (1, "Q_1", "A15Y:K3L"), (2, "q-1 ", "p.k3l + P. A-15-Y"), (3, "Q1", "(K 3 L)、[a15y]"), (4, "Q1", "A15Y"), (5, "Q2", "A15Y:K3L"), (6, "Q1", None), (7, "Q1", "  \n"),
     (8, "Q1", "..."), (9, "Q1", "-"), (10, None, "A15Y"), (11, "Q1", "WT A15Y"), (12, "Q1", "a15y WT"), (13, "Q1", "w.t:A15Y"), (14, "Q1", "A15P.K3L"), (15, "Q1", "A15P,p.K3L"), (16, "Q1", "A15Y:A15Y"),
