@@ -10,7 +10,7 @@ from tallyweave.operators import canonical, contexts, ensemble, finalize, integr
 from tallyweave.plans.common import r6, sql_r6, truth_rows
 from tallyweave.plans.preparation import _ANCHORS, _MUTATED, _POOL, _SUBS, DATASET, _parse, _samples
 from tallyweave.session import cut, scratch_path, table
-from tallyweave.sources import dataset, files
+from tallyweave.sources import dataset, files, sinks
 
 _SAMPLE = ["sample_id", "task", "query_id", "source_assay", "sample_role", "mutant", "model_mutant", "mutation_count", "wt_id", "sequence_sha256", "mutated_sequence"]
 _OUTPUTS = ["score", "evolution"]
@@ -69,18 +69,8 @@ def d_truth(spark: SparkSession, d: str) -> DataFrame:
     """Candidates written as one truth file a group, read back as T2: valid rows, distinct items and score range of each."""
     folder = scratch_path(spark, "truth")
     rows = truth_rows(spark, d).dropna(subset=["item", "score"])
-    names = rows.select("grp").distinct().withColumn("name", text.safe_component(F.col("grp"), 120))
-    tidy = rows.join(names, "grp").select("name", F.col("item").alias("mutant"), F.col("score").alias("DMS_score"), F.lit('a "quoted", broken\nnote').alias("readout_note"))
-    # a group's rows may lie in several files of its folder; as one flat file each they are one file a group
-    tidy.repartition("name").sortWithinPartitions("name").write.partitionBy("name").option("header", True).option("escape", '"').csv(f"{folder}/raw")
-    from tallyweave.sources import storage
-
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for part in storage.below(spark, f"{folder}/raw", ".csv"):
-        place = jvm.org.apache.hadoop.fs.Path(part)
-        target = jvm.org.apache.hadoop.fs.Path(f"{folder}/norm_data/{place.getParent().getName().removeprefix('name=')}.csv")
-        place.getFileSystem(conf).mkdirs(target.getParent())
-        place.getFileSystem(conf).rename(place, target)
+    tidy = rows.select(text.safe_component(F.col("grp"), 120).alias("name"), F.col("item").alias("mutant"), F.col("score").alias("DMS_score"), F.lit('a "quoted", broken\nnote').alias("readout_note"))
+    sinks.csv_by_key(tidy, f"{folder}/norm_data", "name")
     typed = files.typed_truth(files.truth(spark, folder, "T2"))
     return typed.groupBy("grp").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("item").alias("n_items"), r6(F.min("score")).alias("lowest"), r6(F.max("score")).alias("highest"))
 

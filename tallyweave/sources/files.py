@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import csv
 import json
+import re
+from contextlib import contextmanager
 from pathlib import Path, PurePosixPath
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,10 +67,49 @@ def plain_path(path: str | Path) -> str:
     return told if ":" in told.split("/")[0] else f"file://{PurePosixPath(told)}" if told.startswith("/") else told
 
 
+#: More files than this are read as folders where they make up whole ones, and what a small file counts as when files
+#: are dealt to tasks (Spark's own 4 MB make a task of every few files).
+MANY_FILES, SMALL_FILE = 32, 65536
+
+
+def _scan(spark: SparkSession, files: list[str | Path]) -> tuple[list[str], dict]:
+    """Paths and reader options that stand for these files: the folders where these are all their CSV files, as every path that is
+    named by itself is looked up by itself."""
+    told = [str(f) for f in files]
+    folders = sorted({p.rpartition("/")[0] for p in told})
+    if len(told) <= MANY_FILES or 2 * len(folders) > len(told) or not all(p.endswith(".csv") for p in told):
+        return told, {}
+    options = {"pathGlobFilter": "*.csv"}
+    # a folder's path is a pattern to the reader
+    if any(set(f) & set("*?[]{}\\") for f in folders):
+        return told, {}
+    found = spark.read.schema("value string").options(**options).text(folders)._jdf.inputFiles()
+    there = {_bare(unquote(p)) for p in storage.joined(spark, found)}
+    return (folders, options) if there == {_bare(p) for p in told} else (told, {})
+
+
+def _bare(path: str) -> str:
+    return re.sub(r"^file:/+", "/", path)
+
+
+@contextmanager
+def small_files(spark: SparkSession):
+    """Scans that run inside put many small files into one task."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(SMALL_FILE))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def headers(spark: SparkSession, files: list[str | Path]) -> dict[str, list[str]]:
     """Column names of each file, by path as rows name it: the fields of its first line, read by one job."""
-    lines = spark.read.text([str(f) for f in files]).select(_path().alias("path"), "value", F.monotonically_increasing_id().alias("i"), F.col("_metadata.file_block_start").alias("start"))
-    first = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "i").alias("line")).collect()
+    places, options = _scan(spark, files)
+    lines = spark.read.schema("value string").options(**options).text(places).select(_path().alias("path"), "value", F.monotonically_increasing_id().alias("i"), F.col("_metadata.file_block_start").alias("start"))
+    with small_files(spark):
+        first = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "i").alias("line")).collect()
     found = {r["path"]: next(csv.reader([r["line"].lstrip("\ufeff").rstrip("\r")]), []) for r in first}
     if len(found) < len(files):
         # an empty file has no line at all
@@ -91,8 +133,9 @@ def read_group(spark: SparkSession, names: list[str], members: list[str], index:
     """
     kept = {n: i for i, n in enumerate(names)}
     schema = ", ".join(f"_c{i} string" for i in range(len(names)))
-    options = {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "encoding": "UTF-8"}
-    scan = spark.read.schema(schema).options(**options).csv(members)
+    places, found = _scan(spark, members)
+    options = found | {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "encoding": "UTF-8"}
+    scan = spark.read.schema(schema).options(**options).csv(places)
     fields = [F.coalesce(f"_c{i}", F.lit("")).alias(n) for n, i in kept.items()]
     if not index:
         return scan.select(*fields, _path().alias("path"))
@@ -103,8 +146,12 @@ def read_group(spark: SparkSession, names: list[str], members: list[str], index:
 
 def read_csv(spark: SparkSession, files: list[str | Path], keep: list[str] | None = None, index: bool = True, multi_line: bool = True) -> DataFrame:
     """All files as text columns, each group of files with one header by one scan; see read_group."""
+    return _read_groups(spark, _by_header(spark, files), keep, index, multi_line)
+
+
+def _read_groups(spark: SparkSession, groups: dict[tuple[str, ...], list[str]], keep: list[str] | None, index: bool, multi_line: bool = True) -> DataFrame:
     out = None
-    for names, members in _by_header(spark, files).items():
+    for names, members in groups.items():
         part = read_group(spark, list(names), members, index, multi_line)
         part = part.select(*[c for c in part.columns if keep is None or c in keep or c in ("path", "input_index")])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
@@ -154,7 +201,8 @@ def truth(spark: SparkSession, folder: str | Path, task: str, item: str = "mutan
         if lacking:
             raise SourceError(f"{members[0]}: no column {sorted(lacking)}")
     wanted = [item, "DMS_score", "candidate_group_id"]
-    rows = cut(read_csv(spark, files, wanted, index=False))
+    with small_files(spark):
+        rows = cut(_read_groups(spark, groups, wanted, index=False))
     own = text.python_nonblank(F.col("candidate_group_id")) if "candidate_group_id" in rows.columns and task in NESTED else F.lit(None).cast("string")
     valid = text.python_nonblank(F.col(item)).isNotNull() & text.python_float(F.col("DMS_score")).isNotNull()
     # one row a file

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.session import cut
+from tallyweave.session import cut, remove
 from tallyweave.sources import storage
 
 
@@ -17,6 +21,56 @@ def by_task(df: DataFrame, folder: str, order: list, column: str = "task") -> No
     df.repartition(column).sortWithinPartitions(column, *order).write.mode("errorifexists").partitionBy(column).option("header", True).csv(folder)
 
 
+def csv_by_key(df: DataFrame, folder: str, key: str) -> int:
+    """One CSV file a key, <folder>/<key>.csv, with the other columns; returns how many. Keys are usable as names. An existing
+    folder is refused.
+
+    In a folder that is mounted everywhere tasks write the files where they stay: Spark's writer makes a folder, a file and
+    a checksum a key, all to be moved afterwards. Elsewhere its files are moved.
+    """
+    spark = df.sparkSession
+    if storage.exists(spark, folder):
+        raise ValueError(f"{folder} exists")
+    storage.make(spark, folder)
+    own = [c for c in df.columns if c != key]
+    sorted_rows = df.repartition(key).sortWithinPartitions(key)
+    local = storage.local_path(spark, folder)
+    if local is None:
+        sorted_rows.write.partitionBy(key).option("header", True).option("escape", '"').csv(f"{folder}/_raw")
+        # Spark's names of folders are encoded where a key holds odd characters, which names don't
+        parts = storage.below(spark, f"{folder}/_raw", ".csv")
+        for part in parts:
+            storage.move(spark, part, f"{folder}/{part.split('/')[-2].partition('=')[2]}.csv")
+        remove(spark, f"{folder}/_raw")
+        return len(parts)
+    lines = sorted_rows.select(F.col(key).alias("name"), F.to_csv(F.struct(*own), {"escape": '"'}).alias("line"))
+    head = ",".join('"' + c.replace('"', '""') + '"' if set(c) & set(',"\r\n') else c for c in own) + "\n"
+
+    def write(batches):
+        # a killed attempt leaves no half of a file behind that has a key's name
+        mark, name, out, n = f".{uuid.uuid4().hex}~", None, None, 0
+        for batch in batches:
+            names, texts = batch.column(0), batch.column(1).to_pylist()
+            runs = pc.run_end_encode(names)
+            start = 0
+            for value, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if value != name:
+                    if out:
+                        out.close()
+                        os.replace(f"{local}/{name}.csv{mark}", f"{local}/{name}.csv")
+                    name, n = value, n + 1
+                    out = open(f"{local}/{name}.csv{mark}", "w", encoding="utf-8", newline="")
+                    out.write(head)
+                out.write("\n".join(texts[start:end]) + "\n")
+                start = end
+        if out:
+            out.close()
+            os.replace(f"{local}/{name}.csv{mark}", f"{local}/{name}.csv")
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return lines.mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def one_csv(df: DataFrame, path: str | Path, most: int = 1_000_000) -> None:
     """A small result as one CSV file that appears whole or not at all; beyond ``most`` rows it is refused: write a table."""
     frame = df.limit(most + 1).toPandas()

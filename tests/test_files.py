@@ -1,5 +1,6 @@
 """File sources, sinks and the resumable stream in temporary folders."""
 
+import csv
 import gzip
 import json
 
@@ -42,6 +43,48 @@ def test_truth_trees_that_are_refused(spark, tmp_path, content, why):
         files.truth(spark, tmp_path, "T3")
 
 
+def _tasks(spark, group):
+    status = spark.sparkContext.statusTracker()
+    return sum(s.numTasks for j in status.getJobIdsForGroup(group) for i in status.getJobInfo(j).stageIds if (s := status.getStageInfo(i)))
+
+
+def test_a_tree_of_many_files(spark, tmp_path):
+    """A folder is listed once, its small files are put into few tasks, and it's read whole whatever the names are."""
+    names = [f"g {i}+%41é" for i in range(150)]
+    for i, name in enumerate(names):
+        _write(tmp_path / f"T2/norm_data/{name}.csv", f"mutant,DMS_score\nA{i}V,{i}\n")
+    (tmp_path / "T2/norm_data/folder.csv").mkdir()
+    spark.sparkContext.setJobGroup("many", "many")
+    try:
+        rows = files.truth(spark, tmp_path, "T2")
+        assert sorted((r["grp"], r["item"], r["score"]) for r in rows.collect()) == sorted((n, f"A{i}V", str(i)) for i, n in enumerate(names))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert 0 < _tasks(spark, "many") < 100
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != str(files.SMALL_FILE)
+    # a file that a scan of the folder would pass over, and one with other columns
+    _write(tmp_path / "T2/norm_data/h.csv", "DMS_score,x,mutant\n7,,C1D\n")
+    assert {r["item"]: r["score"] for r in files.truth(spark, tmp_path, "T2").collect()} == {f"A{i}V": str(i) for i in range(150)} | {"C1D": "7"}
+    kept = [str(p) for p in sorted((tmp_path / "T2/norm_data").glob("g*.csv"))[:40]]
+    assert files.read_csv(spark, kept, index=False).count() == 40
+
+
+@pytest.mark.parametrize("everywhere", [True, False])
+def test_one_file_a_key(spark, tmp_path, monkeypatch, everywhere):
+    if not everywhere:
+        monkeypatch.setattr(sinks.storage, "local_path", lambda *_: None)
+    rows = [(f"k{i % 7}", f"A{i}V", i / 8, 'a "b", c\nd') for i in range(100)]
+    place = tmp_path / "by key"
+    assert sinks.csv_by_key(spark.createDataFrame(rows, "key string, mutant string, DMS_score double, note string"), str(place), "key") == 7
+    assert sorted(p.name for p in place.iterdir() if not p.name.startswith(".")) == [f"k{i}.csv" for i in range(7)]
+    for k in range(7):
+        with (place / f"k{k}.csv").open(newline="") as f:
+            got = list(csv.reader(f))
+        assert got[0] == ["mutant", "DMS_score", "note"] and sorted(got[1:]) == sorted([m, str(x), n] for g, m, x, n in rows if g == f"k{k}")
+    with pytest.raises(ValueError, match="exists"):
+        sinks.csv_by_key(spark.createDataFrame(rows, "key string, mutant string, DMS_score double, note string"), str(place), "key")
+
+
 def test_predictions(spark, tmp_path):
     one = _write(tmp_path / "one.csv", "assay_id,annots,score\ng.csv,A1V,0.5\ng,C2D,0.7\n")
     got = files.predictions(spark, one, "T2").orderBy("input_index").collect()
